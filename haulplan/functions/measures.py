@@ -58,42 +58,37 @@ def load_factor(weight_ratio, space_ratio) -> Column:
     ) * F.least(space_ratio, F.lit(1.0))
 
 
-def compacted_volume(volume) -> Column:
-    """Volume beyond the largest hold is taken at half, at most one full hold."""
-    hold = F.lit(LARGEST.hold_cm3)
-    return F.when(volume > hold, F.least(volume * F.lit(0.5), hold)).otherwise(volume)
+def fleet_literal() -> str:
+    """The fleet as a literal SQL array, smallest payload first."""
+    rows = (
+        f"named_struct('pos', {i}, 'name', '{v.name}', 'kg', {float(v.max_kg)}D, 'cm3', {v.hold_cm3}D, "
+        f"'fix', {float(v.fixed_cost_per_trip)}D, 'per_km', {float(v.cost_per_km)}D)"
+        for i, v in enumerate(BY_PAYLOAD)
+    )
+    return f"array({', '.join(rows)})"
 
 
-def _rank_struct(pos: int, v: Vehicle, kg: Column, volume: Column, km: Column) -> Column:
-    """Sort key of one vehicle for a load, smallest best; null when too weak.
+def best_vehicle(kg: str, volume_cm3: str, km: str) -> Column:
+    """Name of the right-sized vehicle type, null when the load is too heavy.
 
     Order: fits by weight and volume before fits by weight only; then a load
     factor on target by cost per kg, before the rest by highest load factor;
-    then payload and file order.
+    then payload and file order. Volume beyond the largest hold is taken at
+    half, at most one full hold. All types are compared inside one row, so
+    choosing a vehicle needs neither a join nor a shuffle. Arguments are SQL
+    expressions.
     """
-    lf = load_factor(kg / F.lit(float(v.max_kg)), volume / F.lit(v.hold_cm3))
-    on_target = lf >= K.LF_TARGET
-    cost = trip_cost(F.lit(float(v.fixed_cost_per_trip)), F.lit(float(v.cost_per_km)), km)
-    per_kg = F.when(kg > 0, cost / kg).otherwise(F.lit(float("inf")))
-    key = F.struct(
-        F.when(volume <= v.hold_cm3, 0).otherwise(1).alias("fit"),
-        F.when(on_target, 0).otherwise(1).alias("tier"),
-        F.when(on_target, per_kg).otherwise(-lf).alias("key"),
-        F.lit(pos).alias("pos"),
-        F.lit(v.name).alias("name"),
+    hold = f"{LARGEST.hold_cm3}D"
+    volume = f"IF({volume_cm3} > {hold}, least({volume_cm3} * 0.5D, {hold}), {volume_cm3})"
+    lf = (
+        f"({K.LF_WEIGHT_SHARE}D * least({kg} / v.kg, 1D) + {K.LF_SPACE_SHARE}D * least({volume} / v.cm3, 1D))"
     )
-    return F.when(kg <= v.max_kg, key)
-
-
-def best_vehicle(kg: Column, volume_cm3: Column, km: Column) -> Column:
-    """Name of the right-sized vehicle type, null when the load is too heavy.
-
-    All twelve types are compared inside one row, so choosing a vehicle needs
-    neither a join nor a shuffle.
-    """
-    volume = compacted_volume(volume_cm3)
-    keys = [_rank_struct(i, v, kg, volume, km) for i, v in enumerate(BY_PAYLOAD)]
-    return F.least(*keys)["name"]
+    per_kg = f"IF({kg} > 0, (v.fix + v.per_km * {km}) / {kg}, double('Infinity'))"
+    key = (
+        f"named_struct('fit', IF({volume} <= v.cm3, 0, 1), 'tier', IF({lf} >= {K.LF_TARGET}D, 0, 1), "
+        f"'key', IF({lf} >= {K.LF_TARGET}D, {per_kg}, -{lf}), 'pos', v.pos, 'name', v.name)"
+    )
+    return F.expr(f"array_min(transform(filter({fleet_literal()}, v -> v.kg >= {kg}), v -> {key})).name")
 
 
 def consolidation_type(n, multi_drop) -> Column:

@@ -74,7 +74,5 @@ class Stages:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        t=__import__("time").time()
         df.write.mode("overwrite").parquet(path)
-        print("stage",name,round(__import__("time").time()-t,2))
         return self.spark.read.schema(df.schema).parquet(path)
