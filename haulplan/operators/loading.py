@@ -42,6 +42,7 @@ class Shelf:
     y: float = 0.0
     row: float = 0.0  # how far the next row moves in y
     bears: float = float("inf")  # smallest load its boxes allow on top
+    heaviest: float = 0.0
     boxes: int = 0
 
 
@@ -50,8 +51,8 @@ class Hold:
     """The hold of one truck.
 
     ``strict=True`` is the default geometry: rows advance by box width, a box
-    is tested from the shelf floor, only the top shelf may grow, and a new
-    shelf obeys the stacking limits. ``strict=False`` advances rows by box
+    is tested from the shelf floor, only the top shelf may grow, and stacking
+    limits hold on every shelf in both directions. ``strict=False`` advances rows by box
     height, tests above the shelf's top and checks stacking on started
     shelves only.
     """
@@ -89,16 +90,20 @@ class Hold:
             return 0.0, shelf.y + shelf.row
         return None
 
-    def _bears(self, shelf: Shelf, kg: float) -> bool:
-        return all(kg <= s.bears for s in self.shelves if s.z < shelf.z and s.boxes)
+    def _bears(self, shelf: Shelf, kg: float, on_top: float) -> bool:
+        """Boxes below carry the new one and, if strict, it carries those above."""
+        if any(kg > s.bears for s in self.shelves if s.z < shelf.z and s.boxes):
+            return False
+        return not self.strict or all(s.heaviest <= on_top for s in self.shelves if s.z > shelf.z)
 
-    def _settle(self, shelf: Shelf, x, y, l, w, h, on_top: float):
+    def _settle(self, shelf: Shelf, x, y, l, w, h, kg: float, on_top: float):
         depth = w if self.strict else h
         new_row = self.strict and y != shelf.y
         shelf.row = depth if new_row else max(depth, shelf.row if shelf.boxes else 0.0)
         shelf.x, shelf.y = x + l, y
         shelf.height = max(shelf.height, h)
         shelf.bears = min(shelf.bears, on_top)
+        shelf.heaviest = max(shelf.heaviest, kg)
         shelf.boxes += 1
         return x, y, shelf.z, l, w, h, False
 
@@ -110,22 +115,22 @@ class Hold:
         shapes = orientations(l, w, h, upright, on_top == 0.0, rotate)
         self.kg += kg
         for shelf in self.shelves:
-            if not self._bears(shelf, kg):
+            if not self._bears(shelf, kg, on_top):
                 continue
             for shape in shapes:
                 spot = self._spot(shelf, *shape)
                 if spot is not None:
                     self.volume += l * w * h
-                    return self._settle(shelf, *spot, *shape, on_top)
+                    return self._settle(shelf, *spot, *shape, kg, on_top)
         top = max(s.z + s.height for s in self.shelves)
         if top < self.h:
             shelf = Shelf(top)
             self.shelves.append(shelf)
-            if not self.strict or self._bears(shelf, kg):
+            if not self.strict or self._bears(shelf, kg, on_top):
                 for shape in shapes:
                     if self._spot(shelf, *shape) is not None:
                         self.volume += l * w * h
-                        return self._settle(shelf, 0.0, 0.0, *shape, on_top)
+                        return self._settle(shelf, 0.0, 0.0, *shape, kg, on_top)
             if self.strict:
                 self.shelves.pop()
         self.volume += min(l * w * h * K.BULK_FACTOR, self.capacity * K.BULK_HOLD_SHARE)
