@@ -27,8 +27,11 @@ def pack_volume_cm3(l, w, h) -> Column:
 
 
 def weight_units(kg) -> Column:
-    """Kilograms as whole tenths, rounded up so that a truck is never overloaded."""
-    return F.ceil(kg * F.lit(float(K.WEIGHT_UNITS_PER_KG)) - F.lit(1e-6)).cast("long")
+    """Kilograms as whole tenths, rounded up so that a truck is never overloaded.
+
+    At least one unit, so the payload also bounds the pieces on a truck.
+    """
+    return F.greatest(F.ceil(kg * F.lit(float(K.WEIGHT_UNITS_PER_KG)) - F.lit(1e-6)), F.lit(1)).cast("long")
 
 
 def lookup(key: Column, values: dict, default) -> Column:

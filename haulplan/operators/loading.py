@@ -239,13 +239,15 @@ def load_plan(trucks: DataFrame, strict: bool = True, rotate: bool = True) -> Da
     """
     upright = stacking_case("x.goods_type", 0, STACKING_DEFAULT[0])
     on_top = stacking_case("x.goods_type", 1, STACKING_DEFAULT[1])
-    df = trucks.withColumn("_boxes", by_volume("items")).withColumns(
-        {
-            "_upright": F.expr(f"transform(_boxes, x -> {upright})"),
-            "_on_top": F.expr(f"transform(_boxes, x -> {on_top})"),
-        }
-    )
-    many = df.filter(F.size("_boxes") > 1).withColumn(
+    def boxed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_boxes", by_volume("items")).withColumns(
+            {
+                "_upright": F.expr(f"transform(_boxes, x -> {upright})"),
+                "_on_top": F.expr(f"transform(_boxes, x -> {on_top})"),
+            }
+        )
+
+    many = boxed(trucks.filter(F.size("items") > 1)).withColumn(
         "_load",
         _load_udf(strict, rotate)("_boxes.l", "_boxes.w", "_boxes.h", "_boxes.kg", "_upright", "_on_top", "hold"),
     )
@@ -256,7 +258,7 @@ def load_plan(trucks: DataFrame, strict: bool = True, rotate: bool = True) -> Da
     many = many.withColumns(
         {"load": zipped, "used_cm3": F.col("_load.used_cm3"), "layers": F.col("_load.layers")}
     ).drop(*_BOX_COLS, "_load")
-    return many.unionByName(_single_box(df.filter(F.size("_boxes") == 1), rotate))
+    return many.unionByName(_single_box(boxed(trucks.filter(F.size("items") == 1)), rotate))
 
 
 def axle_balance(loaded: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def stage_counts(run, keys=RUN) -> DataFrame:
     keys = list(keys)
     shipments = run.routes.groupBy(*keys).agg(F.sum("group_size").alias("input_shipments"))
     routed = run.routes.groupBy(*keys).agg(
-        F.count_distinct("group_id").alias("after_clustering"),
+        F.count_if(F.col("route_no") == 0).alias("after_clustering"),
         F.count("*").alias("after_routing"),
         F.count_if((F.col("route_no") == 0) & (F.col("routes_in_group") > 1)).alias("split_by_route"),
         F.count_if("is_corridor").alias("corridor_routes"),
@@ -209,7 +209,7 @@ def full_report(run, shipments: DataFrame, keys=RUN, top_lanes: int = 10) -> Dat
     order = Window.partitionBy(*keys).orderBy(F.desc("shipments"), "lane")
     top = lane_efficiency(run.trucks, keys).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_lanes)
     parts = [
-        box(stage_counts(run, keys), "pipeline"),
+        box(stage_counts(run, keys), "stages"),
         box(consolidation_summary(run.trucks, keys), "consolidation"),
         box(utilization(run.trucks, keys), "utilization"),
         rows(lf_histogram(run.trucks, keys), "distribution"),

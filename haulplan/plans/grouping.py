@@ -1,4 +1,4 @@
-"""The clustering pipeline: shipments to groups that may share a truck."""
+"""Clustering: shipments to groups that may share a truck."""
 
 from __future__ import annotations
 
@@ -92,24 +92,31 @@ def build_units(windowed: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> Data
     """Window groups cut to the payload cap, one row per resulting load.
 
     A load weighs at most one truck's payload, so its item list is bounded.
+    Shipments that are alone in their window group need no shuffle.
     """
-    over = (F.col("group_u") > K.MAX_PAYLOAD_U) & (F.col("group_n") > 1)
+    alone = F.col("group_n") == 1
+    over = ~alone & (F.col("group_u") > K.MAX_PAYLOAD_U)
     cols = [*ITEM_FIELDS, *ATTRS, "window_id", "shareable", "group_n"]
-    kept = windowed.filter(~over).select(*cols, F.col("window_id").alias("unit_id"))
+    carried = [*ATTRS, "shareable", "group_n"]
+    single = windowed.filter(alone).select(
+        F.col("window_id").alias("unit_id"), *carried, F.lit(1).alias("n"), F.array(F.struct(*ITEM_FIELDS)).alias("items")
+    )
+    kept = windowed.filter(~alone & ~over).select(*cols, F.col("window_id").alias("unit_id"))
     cut = split_payload(windowed.filter(over).select(*cols), rows_per_salt).select(
         *cols, F.concat("window_id", F.lit("|b"), F.col("bin_no").cast("string")).alias("unit_id")
     )
     item = F.struct((-F.col("weight_u")).alias("neg"), F.col("earliest_s").alias("at"), *ITEM_FIELDS)
-    return (
+    many = (
         kept.unionByName(cut)
         .groupBy("unit_id")
         .agg(
-            *[F.first(c).alias(c) for c in (*ATTRS, "shareable", "group_n")],
+            *[F.first(c).alias(c) for c in carried],
             F.count("*").cast("int").alias("n"),
             F.sort_array(F.collect_list(item)).alias("items"),
         )
         .withColumn("items", F.transform("items", lambda x: F.struct(*[x[f].alias(f) for f in ITEM_FIELDS])))
     )
+    return single.unionByName(many)
 
 
 def single_rows(units: DataFrame) -> DataFrame:
