@@ -122,14 +122,13 @@ def overlap_partners(shipments: DataFrame, lane: list[str]) -> DataFrame:
     cases are counted from running totals over the lane's distinct times, so
     no pair is ever built.
     """
-    starts = shipments.groupBy(*lane, F.col("earliest_s").alias("t")).agg(F.count("*").alias("opened"), F.lit(0).cast("long").alias("closed"))
-    ends = shipments.groupBy(*lane, F.col("latest_s").alias("t")).agg(F.lit(0).cast("long").alias("opened"), F.count("*").alias("closed"))
+    event = lambda c, opened: F.struct(F.col(c).alias("t"), F.lit(opened).alias("o"), F.lit(1 - opened).alias("c"))
+    events = shipments.select(*lane, F.explode(F.array(event("earliest_s", 1), event("latest_s", 0))).alias("x"))
     upto = Window.partitionBy(*lane).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*lane)
     clock = (
-        starts.unionByName(ends)
-        .groupBy(*lane, "t")
-        .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+        events.groupBy(*lane, F.col("x.t").alias("t"))
+        .agg(F.sum("x.o").alias("opened"), F.sum("x.c").alias("closed"))
         .select(
             *lane, "t",
             F.sum("closed").over(upto).alias("closed_by"),
