@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.fleet import BY_PAYLOAD, LARGEST, Vehicle
+from ..sources.fleet import BY_PAYLOAD, LARGEST
 from . import constants as K
 from .rounding import rnd
 

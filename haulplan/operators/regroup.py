@@ -1,7 +1,7 @@
 """Second pass: same-lane shipments still alone share a truck where they fit.
 
-The reference order is next-fit over a lane's lone shipments. Within one
-window group any two of them are together over the payload cap (first-fit
+The rule is next-fit over a lane's lone shipments in order of window group and
+weight. Within one window group any two of them are together over the payload cap (first-fit
 would have joined them), so all but the first and the last close alone. Only
 those two per lane and window group can share, which bounds a lane's list by
 the clock; both come from map-side aggregates.

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import geo_np
-from ..functions.geo import bearing_deg, bearing_diff, detour_multiplier, haversine_km, road_km
+from ..functions.geo import bearing_deg, bearing_diff, detour_multiplier, road_km
 from ..functions.measures import route_volume_cm3
 from ..functions.rounding import rnd
 

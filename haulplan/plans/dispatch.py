@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import consolidation_type
 from ..operators.loading import axle_balance, load_plan
 from ..operators.route import annotate_routes, split_routes
-from ..operators.vehicles import choose_vehicles, split_oversize, truck_figures, vehicle_numbers, with_hold
+from ..operators.vehicles import choose_vehicles, split_oversize, truck_figures, with_hold
 from ..operators.payload import ROWS_PER_SALT
 from ..session import Stages
 from .grouping import ITEM_FIELDS, Grouping, group_shipments, lane_label

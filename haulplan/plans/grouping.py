@@ -143,7 +143,6 @@ def merge_singles(units: DataFrame, scenarios, decisions, stages: Stages) -> Dat
 
 def build_groups(units: DataFrame, unit_map: DataFrame) -> DataFrame:
     """One row per group; only merged loads are regrouped, the rest pass through."""
-    joined = units.join(unit_map, "unit_id", "left").withColumn("group_id", F.coalesce("group_id", "unit_id"))
     attrs = [c for c in ATTRS if c != "scenario_id"]
     merged = (
         units.join(unit_map, "unit_id")

@@ -17,7 +17,7 @@ from ..sources.fleet import LARGEST, fleet_df
 from ..sources.shipments import planning_rows, shipments_view
 from .dispatch import Run, pack_routes, run_plan, truck_shipments
 from .grouping import ITEM_FIELDS
-from .params import BALANCED, PRESETS, scenario_value
+from .params import BALANCED, PRESETS
 from .scenarios import compare, recommend
 
 PAIR_KEY = ["ship_week", "pickup_hub"]

@@ -25,6 +25,9 @@ def local_session(app: str = "haulplan", cores: str = "*", shuffle_partitions: i
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -33,12 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     with its executor, so a missing setting is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="haulplan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if sc.applicationId not in _local_folders:
+        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="haulplan-")
+        sc.setCheckpointDir(_local_folders[sc.applicationId])
+    return _local_folders[sc.applicationId]
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:

@@ -2,8 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from haulplan.operators import feasibility, learning, metrics, proximity
 from haulplan.plans.dispatch import run_plan, truck_shipments
 from haulplan.plans.params import PRESETS

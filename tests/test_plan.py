@@ -7,7 +7,7 @@ import model
 from haulplan.operators import loading, vehicles
 from haulplan.plans.dispatch import run_plan, truck_shipments
 from haulplan.plans.params import BALANCED, PRESETS, Scenario
-from haulplan.session import Stages
+from haulplan.session import Stages, shared_folder
 
 SCHEMA = (
     "shipment_id string, period string, pickup_lat double, pickup_lng double, delivery_lat double, delivery_lng double, "
@@ -175,5 +175,18 @@ def test_single_box_expression_equals_helper(spark):
             assert r["used_cm3"] == pytest.approx(used)
 
 
+class _Session:
+    """Stands in for a session whose setting is given."""
+
+    def __init__(self, spark, master, folder):
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"{master}-{folder}", "setCheckpointDir": lambda *_: None})()
+        self.conf = type("R", (), {"get": lambda *_: folder})()
+
+
 def test_stage_tables_live_in_the_shared_folder(spark):
-    assert Stages(spark).root.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert Stages(spark).root.startswith(shared_folder(spark))
+    assert shared_folder(_Session(spark, "yarn", "hdfs:///shared")) == "hdfs:///shared"
+    alone = _Session(spark, "local[2]", None)
+    assert shared_folder(alone) == shared_folder(alone)
+    with pytest.raises(RuntimeError):
+        shared_folder(_Session(spark, "yarn", None))
