@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import fingerprints, licenses, line_dedup, quality, secrets
 
 
 def shipments(docs: DataFrame) -> DataFrame:
@@ -33,4 +33,57 @@ def op1_line_dedup(spark, sf):
     return kept.select(doc_id(), "n_lines", "n_dropped", F.sha2("delivery_hub", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op2_secrets(spark, sf):
+    found = secrets.find_secrets(documents(spark, sf))
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s.kind.isin(*kinds))
+
+    def digest(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    return found.select(
+        doc_id(), *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(digest(of(*secrets.KINDS[:3])), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_quality(spark, sf):
+    ledger, rules, policies = quality.text_ledger(documents(spark, sf)), quality.TEXT_RULES, quality.TEXT_POLICIES
+    return ledger.select(
+        doc_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.passes(rules, policies["base"])).alias("base_failed"),
+        quality.passes(rules, policies["v2"]).alias("kept"), "failed_rules",
+    )
+
+
+def op8_licenses(spark, sf):
+    found = licenses.find_licenses(documents(spark, sf))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    starts = F.col("places.word")
+    return found.select(
+        doc_id(), "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "matches.label")).alias("labels"), "score",
+    )
+
+
+def op9_fingerprints(spark, sf):
+    prints = fingerprints.edited_fingerprints(documents(spark, sf))
+    return prints.select(
+        doc_id(), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
+    "op8_licenses": op8_licenses,
+    "op9_fingerprints": op9_fingerprints,
+}
