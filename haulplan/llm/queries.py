@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, quality, secrets
+from . import fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, toxicity
 
 
 def shipments(docs: DataFrame) -> DataFrame:
@@ -24,6 +24,19 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return shipments(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf}/labels.parquet")
+    return table.select(F.col("doc_id").alias("shipment_id"), "toxic")
+
+
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """Blank-separated words as tokens, and a size class: documents have no topic, so it stands as the wave."""
+    tokens = F.size(F.split(F.trim(F.coalesce("delivery_hub", F.lit(""))), " +")).cast("long")
+    rows = rows.withColumn("n_tokens", F.when(F.length(F.trim("delivery_hub")) > 0, tokens).otherwise(F.lit(0)))
+    size = F.when(F.col("n_tokens") < 200, "short").when(F.col("n_tokens") < 1000, "medium").otherwise("long")
+    return rows.withColumn("wave", size)
+
+
 def doc_id():
     return F.col("shipment_id").alias("doc_id")
 
@@ -57,6 +70,22 @@ def op3_quality(spark, sf):
     )
 
 
+def op5_packing(spark, sf):
+    pieces = packing.pack_texts(documents(spark, sf))
+    return pieces.select(
+        doc_id(), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        F.col("text_tokens").alias("doc_tokens"), "sequence_id", "offset",
+    )
+
+
+def op7_mixing(spark, sf):
+    mixed = mixing.mix_shipments(with_tokens(documents(spark, sf)))
+    return mixed.select(
+        doc_id(), F.col("pickup_hub").alias("source"), F.col("goods_type").alias("lang"), F.col("wave").alias("topic"),
+        "n_tokens", "weight", "probability", "selected",
+    )
+
+
 def op8_licenses(spark, sf):
     found = licenses.find_licenses(documents(spark, sf))
 
@@ -80,10 +109,18 @@ def op9_fingerprints(spark, sf):
     )
 
 
+def op10_toxicity(spark, sf):
+    scored = toxicity.score_toxicity(documents(spark, sf), labels(spark, sf))
+    return scored.select(doc_id(), "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
+    "op5_packing": op5_packing,
+    "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
