@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, toxicity
+from . import fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, suffix_index, toxicity
 
 
 def shipments(docs: DataFrame) -> DataFrame:
@@ -78,6 +78,13 @@ def op5_packing(spark, sf):
     )
 
 
+def op6_suffix_dedup(spark, sf):
+    cut = suffix_index.remove_repeats(documents(spark, sf))
+    return cut.select(
+        doc_id(), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_mixing(spark, sf):
     mixed = mixing.mix_shipments(with_tokens(documents(spark, sf)))
     return mixed.select(
@@ -119,6 +126,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
