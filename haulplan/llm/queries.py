@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, packing, quality, secrets, suffix_index, toxicity
+from . import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
 
 
 def shipments(docs: DataFrame) -> DataFrame:
@@ -70,6 +70,10 @@ def op3_quality(spark, sf):
     )
 
 
+def op4_ngram_join(spark, sf):
+    return ngram_join.join_similar(documents(spark, sf)).select(doc_id(), "class_id", "n_links")
+
+
 def op5_packing(spark, sf):
     pieces = packing.pack_texts(documents(spark, sf))
     return pieces.select(
@@ -125,6 +129,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
+    "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
