@@ -45,6 +45,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
+def schema_of(df: DataFrame, columns: tuple[str, ...]) -> str:
+    """DDL of columns that a step hands through."""
+    return ", ".join(f"`{c}` {key_type(df, c)}" for c in columns)
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

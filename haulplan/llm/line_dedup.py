@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, key_type, map_batches, mix64, repeat, rows_of, shuffle_width, stages
+from .common import as_bytes, key_type, map_batches, mix64, repeat, rows_of, schema_of, shuffle_width, stages
 
 #: The blanks stripped at both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -118,7 +118,9 @@ def index_shards(shared: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def drop_shared_lines(shipments: DataFrame, least_points: int = 20, least_shipments: int = 3) -> DataFrame:
+def drop_shared_lines(
+    shipments: DataFrame, least_points: int = 20, least_shipments: int = 3, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Take shared lines out of every shipment's text but one.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys
@@ -127,7 +129,8 @@ def drop_shared_lines(shipments: DataFrame, least_points: int = 20, least_shipme
     ``shipment_id`` holding them. The other lines stay, joined by newlines.
 
     Returns one row per input row: ``shipment_id``, ``n_lines`` (before),
-    ``n_dropped``, ``delivery_hub`` (the text that stays). A null or empty text
+    ``n_dropped``, ``delivery_hub`` (the text that stays), and the columns named
+    in ``carry``. A null or empty text
     is one empty line. Rows that share an id are one shipment to the counts, and
     a null id counts as an id smaller than any other. An empty table gives no rows.
     """
@@ -160,10 +163,10 @@ def drop_shared_lines(shipments: DataFrame, least_points: int = 20, least_shipme
         .agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
         .select(F.col("shipment_id").alias("_id"), F.col("gone.hi").alias("hi"), F.col("gone.lo").alias("lo"))
     )
-    joined = shipments.select("shipment_id", "delivery_hub").join(per_text, F.col("shipment_id").eqNullSafe(F.col("_id")), "left")
+    joined = shipments.select("shipment_id", "delivery_hub", *carry).join(per_text, F.col("shipment_id").eqNullSafe(F.col("_id")), "left")
     return map_batches(
-        joined.drop("_id"), _rewrite(least_points),
-        f"shipment_id {key_type(shipments)}, n_lines long, n_dropped long, delivery_hub string",
+        joined.drop("_id"), _rewrite(least_points, ("shipment_id", *carry)),
+        f"{schema_of(shipments, ('shipment_id', *carry))}, n_lines long, n_dropped long, delivery_hub string",
     )
 
 
@@ -186,7 +189,7 @@ def _probe(least_shipments: int):
     return probe
 
 
-def _rewrite(least_points: int):
+def _rewrite(least_points: int, handed: tuple[str, ...]):
     def rewrite(batch: pa.RecordBatch) -> dict:
         texts = as_bytes(rows_of(batch, "delivery_hub"))
         his, los = rows_of(batch, "hi").to_pylist(), rows_of(batch, "lo").to_pylist()
@@ -201,8 +204,8 @@ def _rewrite(least_points: int):
                 lines = [x for x, k in zip(lines, keys) if k is None or xxhash.xxh3_128_digest(k) not in gone]
             n_dropped.append(n_lines[-1] - len(lines))
             kept.append(b"\n".join(lines))
-        return {
-            "shipment_id": rows_of(batch, "shipment_id"), "n_lines": pa.array(n_lines, pa.int64()),
+        return {c: rows_of(batch, c) for c in handed} | {
+            "n_lines": pa.array(n_lines, pa.int64()),
             "n_dropped": pa.array(n_dropped, pa.int64()), "delivery_hub": pa.array(kept, pa.binary()).cast(pa.string()),
         }
 

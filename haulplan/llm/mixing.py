@@ -108,12 +108,13 @@ def _expected(cells: DataFrame, lift: Column, scales: list[float]) -> list[float
 
 
 def mix_shipments(
-    shipments: DataFrame, targets: DataFrame | None = None, dimensions: Sequence[str] = DIMENSIONS, keep: float | None = None, seed: int = 1
+    shipments: DataFrame, targets: DataFrame | None = None, dimensions: Sequence[str] = DIMENSIONS,
+    keep: float | None = None, power: float = 0.7, seed: int = 1,
 ) -> DataFrame:
     """Rake token weights to target marginals and sample rows by calibrated probability.
 
     ``shipments`` have ``n_tokens`` and the dimensions; ``targets`` (dimension,
-    value, share) default to ``tempered_targets``. ``keep`` is the expected
+    value, share) default to ``tempered_targets`` with ``power``. ``keep`` is the expected
     share of the tokens that stay; without it, as many as the targets allow
     (see ``calibrated``). The draw is a hash of id and ``seed``, so it
     is the same on every run, and rows that share an id draw alike.
@@ -127,7 +128,7 @@ def mix_shipments(
     rows = run.save(
         shipments.select("shipment_id", *_named(dimensions), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")), "rows"
     )
-    targets = tempered_targets(rows, dimensions) if targets is None else targets
+    targets = tempered_targets(rows, dimensions, power) if targets is None else targets
     cells = rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("n_tokens"))
     cells = calibrated(rake(cells, targets, dimensions), keep).select(*dimensions, "weight", "probability")
     draw = F.pmod(F.xxhash64("shipment_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))

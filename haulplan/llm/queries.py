@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from . import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
 
 
-def shipments(docs: DataFrame) -> DataFrame:
+def shipments(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("shipment_id"), F.col("text").alias("delivery_hub"),
-        F.col("source").alias("pickup_hub"), F.col("lang").alias("goods_type"),
+        F.col("source").alias("pickup_hub"), F.col("lang").alias("goods_type"), *more,
     )
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_type, map_batches, rows_of, stages
+from .common import map_batches, rows_of, schema_of, stages
 
 WORD = re.compile(r"\w+")
 #: Lengths of the leading letters that are terms of their own: stems of unseen forms.
@@ -123,7 +123,9 @@ def learn(shipments: DataFrame, labels: DataFrame, sample: int = 12_000, kept_te
     return fit_machine([np.array(t, np.int64) for t in few["terms"]], few["toxic"].to_numpy(float), kept, rank)
 
 
-def score_toxicity(shipments: DataFrame, labels: DataFrame, sample: int = 12_000, kept_terms: int = 1024, rank: int = 8) -> DataFrame:
+def score_toxicity(
+    shipments: DataFrame, labels: DataFrame, sample: int = 12_000, kept_terms: int = 1024, rank: int = 8, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Toxicity of every shipment's whole text.
 
     ``labels`` (shipment_id, toxic) teach the machine, but for the held-out
@@ -131,7 +133,7 @@ def score_toxicity(shipments: DataFrame, labels: DataFrame, sample: int = 12_000
     a truck's feasible flag over the terms of its explanation, fit as well.
 
     Returns one row per input row: ``shipment_id``, ``held_out``, ``score``
-    (0 to 1), ``predicted`` (1 from 0.5 on). A null or empty text gets the
+    (0 to 1), ``predicted`` (1 from 0.5 on), and the columns named in ``carry``. A null or empty text gets the
     score of no terms. An empty table gives no rows.
     """
     machine = learn(shipments, labels, sample, kept_terms, rank)
@@ -153,9 +155,11 @@ def score_toxicity(shipments: DataFrame, labels: DataFrame, sample: int = 12_000
                     known = memory[word] = tuple(index[t] for t in terms_of(word) if t in index)
                 present.update(known)
             scores.append(own.score(np.array(sorted(present), np.int64)))
-        return {"shipment_id": rows_of(batch, "shipment_id"), "score": pa.array(scores, pa.float64())}
+        return {c: rows_of(batch, c) for c in kept} | {"score": pa.array(scores, pa.float64())}
 
-    scored = map_batches(shipments.select("shipment_id", "delivery_hub"), score, f"shipment_id {key_type(shipments)}, score double")
+    kept = ("shipment_id", *carry)
+    read = shipments.select(*dict.fromkeys((*kept, "delivery_hub")))
+    scored = map_batches(read, score, f"{schema_of(shipments, kept)}, score double")
     return scored.select(
-        "shipment_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        *kept, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
