@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,11 @@ def repeat(column: pa.Array, counts) -> pa.Array:
     return column.take(pa.array(np.repeat(np.arange(len(column)), counts)))
 
 
+def worker_memory(name: str) -> dict:
+    """A dict that lives as long as the Python worker: functions come anew with each task, and their globals with them."""
+    return sys.__dict__.setdefault("_haulplan_memory", {}).setdefault(name, {})
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finisher of splitmix64, a public 64-bit mixing function."""
     x = x.astype(np.uint64, copy=True)

@@ -21,20 +21,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import key_type, rows_of
+from .common import key_type, rows_of, worker_memory
 
 CAPACITY = 2048
 END_ID = 1
 #: Remainders packed together.
 BLOCK = 4096
 #: Most remembered words of a worker; the memory starts anew beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: White space for Python's split, but not for the tokenizer.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-_words: dict[str, dict[str, bytes]] = {}
-_loaded: dict[str, object] = {}
-
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -43,12 +40,13 @@ def vocabulary_path() -> str:
 
 
 def _tokenizer(path: str):
-    if path not in _loaded:
+    loaded = worker_memory("tokenizers")
+    if path not in loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        loaded[path] = Tokenizer.from_file(path)
+    return loaded[path]
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
@@ -58,7 +56,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     is encoded once and remembered. Texts with control characters that Python
     alone takes for white space go through the tokenizer as they are.
     """
-    tokenizer, memory = _tokenizer(path), _words.setdefault(path, {})
+    tokenizer, memory = _tokenizer(path), worker_memory(path)
     out, end = [], np.array([END_ID], "<u4").tobytes()
     for start in range(0, len(texts), 256):
         part = texts[start : start + 256]

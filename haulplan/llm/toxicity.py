@@ -10,6 +10,7 @@ It is fitted on a bounded sample of labelled rows; scoring covers every text.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, rows_of, schema_of, stages
+from .common import map_batches, rows_of, schema_of, stages, worker_memory
 
 WORD = re.compile(r"\w+")
 #: Lengths of the leading letters that are terms of their own: stems of unseen forms.
@@ -138,11 +139,12 @@ def score_toxicity(
     """
     machine = learn(shipments, labels, sample, kept_terms, rank)
     context = shipments.sparkSession.sparkContext
-    shared = context.broadcast(machine)  # kept_terms x (rank + 1) numbers
-    memory: dict[str, tuple[int, ...]] = {}
+    # kept_terms x (rank + 1) numbers, as plain arrays
+    shared = context.broadcast((machine.terms, machine.bias, machine.linear, machine.factors))
+    fit = uuid.uuid4().hex
 
     def score(batch: pa.RecordBatch) -> dict:
-        own = shared.value
+        own, memory = Machine(*shared.value), worker_memory(f"terms {fit}")
         index = {int(t): i for i, t in enumerate(own.terms)}
         scores = []
         for text in rows_of(batch, "delivery_hub").to_pylist():
