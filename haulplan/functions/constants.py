@@ -3,9 +3,9 @@
 EARTH_RADIUS_KM = 6371.0
 ROAD_FACTOR = 1.35
 
-# Weight is counted in tenths of a kilogram wherever loads are added up, so
-# that sums are exact and do not depend on the order of the rows.
-WEIGHT_UNITS_PER_KG = 10
+# Weight is counted in whole grams wherever loads are added up, so that sums
+# are exact and do not depend on the order of the rows.
+WEIGHT_UNITS_PER_KG = 1000
 MAX_PAYLOAD_KG = 22000
 MAX_PAYLOAD_U = MAX_PAYLOAD_KG * WEIGHT_UNITS_PER_KG
 

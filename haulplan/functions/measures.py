@@ -27,7 +27,7 @@ def pack_volume_cm3(l, w, h) -> Column:
 
 
 def weight_units(kg) -> Column:
-    """Kilograms as whole tenths, rounded up so that a truck is never overloaded.
+    """Kilograms as whole grams, rounded up so that a truck is never overloaded.
 
     At least one unit, so the payload also bounds the pieces on a truck.
     """

@@ -38,9 +38,6 @@ def add_up(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-MATRIX_PLACES = 1500  # up to here all distances are computed at once
-
-
 def sweep(names, n, slat, slng, radius: float) -> list[str]:
     """Merge places whose live centroids lie within ``radius`` km.
 
@@ -51,16 +48,11 @@ def sweep(names, n, slat, slng, radius: float) -> list[str]:
     n, slat, slng = (np.array(v, dtype=float) for v in (n, slat, slng))
     root = np.arange(size)
     lat, lng = slat / n / MICRO, slng / n / MICRO
-    known = None
-    if size <= MATRIX_PLACES:
-        known = haversine_km(lat[:, None], lng[:, None], lat, lng)
-        if (known <= radius).sum() == size:
-            return list(names)
     for i in range(size - 1):
         j = i + 1
         while j < size:
             mine, others = root[i], root[j:]
-            row = known[mine] if known is not None else haversine_km(lat[mine], lng[mine], lat, lng)
+            row = haversine_km(lat[mine], lng[mine], lat, lng)
             hits = np.flatnonzero((row[others] <= radius) & (others != mine))
             if not len(hits):
                 break
@@ -69,8 +61,6 @@ def sweep(names, n, slat, slng, radius: float) -> list[str]:
             for s in (n, slat, slng):
                 s[mine] += s[gone]
             lat[mine], lng[mine] = slat[mine] / n[mine] / MICRO, slng[mine] / n[mine] / MICRO
-            if known is not None:
-                known[mine] = known[:, mine] = haversine_km(lat[mine], lng[mine], lat, lng)
             root[root == gone] = mine
             j += 1
     first = {}
@@ -89,7 +79,7 @@ def _cluster(sums: DataFrame, keys: list[str], place: str, lat: str, lng: str, r
         "c", _sweep_udf(f"r.{place}", "r.n", f"r.{lat}", f"r.{lng}", radius)
     )
     return packed.select(
-        *keys, F.explode(F.arrays_zip(F.col(f"r.{place}").alias(place), F.col("c").alias(out))).alias("z")
+        *keys, F.explode_outer(F.arrays_zip(F.col(f"r.{place}").alias(place), F.col("c").alias(out))).alias("z")
     ).select(*keys, f"z.{place}", f"z.{out}")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions.measures import pack_volume_cm3, side
 from ..sources.fleet import LARGEST, STACKING, STACKING_DEFAULT
+from .vehicles import ranked
 
 
 def orientations(l: float, w: float, h: float, upright: bool, floor_only: bool, rotate: bool = True):
@@ -279,7 +280,7 @@ def axle_balance(loaded: DataFrame) -> DataFrame:
     )
 
 
-SECTION = 2000  # shipments of one demand that are convoyed together
+CONVOY_SHIPMENTS = 500  # the next shipments of a demand leave as the next section
 
 
 def convoy_trucks(l, w, h, kg, upright, on_top, strict=True, rotate=True) -> list[int]:
@@ -316,13 +317,13 @@ def _convoy_udf(
     return pd.Series([convoy_trucks(*[c.tolist() for c in row]) for row in zip(l, w, h, kg, upright, on_top)])
 
 
-def convoys(shipments: DataFrame, keys: list[str]) -> DataFrame:
+def convoys(shipments: DataFrame, keys: list[str], size: int = CONVOY_SHIPMENTS) -> DataFrame:
     """Trucks for demands that exceed the largest vehicle, one row per truck.
 
-    ``shipments`` are flat rows with the demand ``keys``. A demand of more than
-    ``SECTION`` shipments leaves in sections, cut by a hash of the id, so that
-    no task ever holds a whole hot demand; every shipment still travels.
-    Shipments over the largest payload are not loaded here (see oversize).
+    ``shipments`` are flat rows with the demand ``keys``. A demand leaves in
+    order of departure, ``size`` shipments a section, whatever its length; so
+    freight of one departure stays together and no task holds a whole hot
+    demand. Every shipment travels. Shipments over the largest payload are not loaded here (see oversize).
     """
     volume = pack_volume_cm3("length_cm", "width_cm", "height_cm")
     fits = shipments.filter(F.col("weight_kg") <= LARGEST.max_kg).withColumn("_v", volume)
@@ -331,15 +332,15 @@ def convoys(shipments: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.count("*").alias("_n"), F.sum("weight_u").alias("_u"), F.sum("_v").alias("_vol"))
         .filter((F.col("_u") > K.MAX_PAYLOAD_U) | (F.col("_vol") > LARGEST.hold_cm3))
     )
-    section = F.pmod(F.xxhash64("shipment_id"), F.ceil(F.col("_n") / SECTION)).cast("int")
+    queued = ranked(fits.join(demand, keys), keys, "shipment_id", "_place", ("earliest_s",))
+    section = F.floor((F.col("_place") - 1) / size).cast("long")
     fields = [
         "shipment_id", "weight_kg", "weight_u", "length_cm", "width_cm", "height_cm", "goods_type",
         "pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng",
     ]
     parts = [*keys, "section"]
     packed = (
-        fits.join(demand, keys)
-        .withColumn("section", section)
+        queued.withColumn("section", section)
         .groupBy(*parts)
         .agg(F.collect_list(F.struct(*fields)).alias("items"))
         .withColumn("_boxes", by_volume("items"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -97,20 +97,29 @@ def lf_bands(trucks: DataFrame, keys=RUN) -> DataFrame:
 def goods_summary(shipments: DataFrame, keys=()) -> DataFrame:
     return shipments.groupBy(*keys, "goods_type").agg(
         F.count("*").alias("shipments"),
-        rnd(exact_sum("weight_kg", 10), 0).alias("total_kg"),
-        rnd(exact_mean("weight_kg", 10), 0).alias("avg_kg"),
+        rnd(exact_sum("weight_kg"), 0).alias("total_kg"),
+        rnd(exact_mean("weight_kg"), 0).alias("avg_kg"),
     )
 
 
-def flat_metrics(trucks: DataFrame, keys=RUN) -> DataFrame:
-    """Console metrics with the flat-rate savings model (a fixed gain per trip saved)."""
+def flat_metrics(trucks: DataFrame, exceptions: DataFrame, keys=RUN) -> DataFrame:
+    """Console metrics with the flat-rate savings model (a fixed gain per trip saved).
+
+    ``oversize`` counts the shipments no vehicle carries; the means are over
+    the trucks.
+    """
     saved = F.col("n_shipments") - F.col("n_trucks")
     goods = F.array_distinct("items.goods_type")
     fragile = F.exists(goods, lambda g: g.isin("pharma_medical", "electronics"))
     heavy = F.exists(goods, lambda g: g.isin("steel_metal_parts", "construction_material"))
     mixed = trucks.groupBy(*keys).agg(F.count_if(fragile & heavy).alias("mixed_stackability"))
+    over = exceptions.groupBy(*keys).agg(F.count("*").alias("oversize"))
+    means = utilization(trucks, keys).select(*keys, "avg_load_factor", "avg_weight_utilization", "avg_volume_utilization")
     return (
         consolidation_summary(trucks, keys)
+        .join(means, list(keys))
+        .join(over, list(keys), "left")
+        .withColumn("oversize", F.coalesce("oversize", F.lit(0)))
         .withColumns(
             {
                 "flat_cost_savings_inr": saved * K.FLAT_INR_PER_TRIP,
@@ -150,11 +159,11 @@ def savings(trucks: DataFrame, shipments: DataFrame, keys=RUN, right_sized: bool
     shipment's right-sized type.
     """
     solo = solo_costs(shipments, None if right_sized else "assigned_vehicle").groupBy(*keys).agg(
-        F.count("*").alias("solo_trips"), F.sum("solo_cost_inr").alias("_cost"), F.sum("solo_co2_kg").alias("_co2")
+        F.count("*").alias("solo_trips"), exact_sum("solo_cost_inr", 10_000).alias("_cost"), exact_sum("solo_co2_kg", 10_000).alias("_co2")
     )
     cons = trucks.groupBy(*keys).agg(
         F.count("*").alias("consolidated_trips"),
-        F.sum("cost_estimate_inr").alias("_ccost"), F.sum("co2_kg_estimate").alias("_cco2"),
+        exact_sum("cost_estimate_inr").alias("_ccost"), exact_sum("co2_kg_estimate").alias("_cco2"),
     )
     return savings_from_totals(solo.join(cons, list(keys)), keys)
 
@@ -195,19 +204,17 @@ def stage_counts(run, keys=RUN) -> DataFrame:
     )
 
 
-def full_report(run, shipments: DataFrame, keys=RUN, top_lanes: int = 10) -> DataFrame:
-    """One row per run with seven sections as structs and arrays.
+def full_report(run, shipments: DataFrame, keys=RUN) -> DataFrame:
+    """One row per run with the sections of bounded size as structs and arrays.
 
-    Lanes are listed as the ``top_lanes`` by shipments; ``lane_efficiency``
-    has them all.
+    The lanes are as many as the data has, so they stay a table of rows beside
+    the report: ``lane_efficiency``.
     """
     keys = list(keys)
     box = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
     rows = lambda df, name: df.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c not in keys]))).alias(name)
     )
-    order = Window.partitionBy(*keys).orderBy(F.desc("shipments"), "lane")
-    top = lane_efficiency(run.trucks, keys).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_lanes)
     parts = [
         box(stage_counts(run, keys), "stages"),
         box(consolidation_summary(run.trucks, keys), "consolidation"),
@@ -215,7 +222,6 @@ def full_report(run, shipments: DataFrame, keys=RUN, top_lanes: int = 10) -> Dat
         rows(lf_histogram(run.trucks, keys), "distribution"),
         box(savings(run.trucks, shipments, keys), "savings"),
         rows(vehicle_mix(run.trucks, keys), "fleet"),
-        rows(top.select(*keys, "place", *[c for c in top.columns if c not in (*keys, "place")]), "lanes"),
         rows(goods_summary(shipments, keys), "goods"),
     ]
     out = parts[0]
@@ -232,7 +238,7 @@ def input_kpis(shipments: DataFrame) -> DataFrame:
         F.count("*").alias("shipments"),
         F.count_distinct("pickup_hub").alias("origin_hubs"),
         F.count_distinct("delivery_hub").alias("destinations"),
-        rnd(exact_sum("weight_kg", 10) / 1000.0, 1).alias("total_tonnes"),
+        rnd(exact_sum("weight_kg") / 1000.0, 1).alias("total_tonnes"),
     )
 
 

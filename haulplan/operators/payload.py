@@ -13,15 +13,13 @@ from array import array
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..session import spread
-
-ROWS_PER_SALT = 20_000_000
-
+from .vehicles import ranked
 
 def first_fit_runs(sizes, counts, cap: int):
     """First-fit of ``counts`` items per size, sizes in descending order.
@@ -58,10 +56,7 @@ def first_fit_runs(sizes, counts, cap: int):
 
     for c, (size, n) in enumerate(zip(sizes, counts)):
         size, n, rank = int(size), int(n), 0
-        if len(room) < 64:
-            fits = [i for i, r in enumerate(room) if r >= size]
-        else:
-            fits = np.flatnonzero(np.frombuffer(room, dtype=np.int64) >= size).tolist()
+        fits = np.flatnonzero(np.array(room, dtype=np.int64) >= size).tolist()
         for at in fits:
             took = fill(c, rank, n, at, size)
             rank, n = rank + took, n - took
@@ -88,41 +83,30 @@ def _runs_udf(sizes: pd.Series, counts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({f: [[p[i] for p in ps] for ps in pieces] for i, f in enumerate(_PIECE)})
 
 
-def salt_of(shipment_id: Column, group_n: Column, rows_per_salt: int) -> Column:
-    """Salt that cuts one weight of a very large group into several tasks."""
-    return F.pmod(F.xxhash64(shipment_id), F.ceil(group_n / F.lit(float(rows_per_salt)))).cast("int")
-
-
-def split_payload(over: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def split_payload(over: DataFrame) -> DataFrame:
     """Add ``bin_no`` to the shipments of groups over the payload cap.
 
-    ``over`` holds ``window_id``, ``group_n``, ``weight_u``, ``earliest_s`` and
-    ``shipment_id``. Order: weight descending, then salt (always 0 up to
-    ``rows_per_salt`` shipments in a group), earliest time, id.
+    ``over`` holds ``window_id``, ``weight_u``, ``earliest_s`` and
+    ``shipment_id``. Order: weight descending, earliest time, then the id as
+    ``ranked`` has it. Ranks come from counts and running offsets, so one
+    weight of a very large group is ranked by many tasks.
     """
-    keys = ["window_id", "weight_u", "salt"]
-    salted = over.withColumn("salt", salt_of(F.col("shipment_id"), F.col("group_n"), rows_per_salt))
-    classes = salted.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("weight_u")).alias("neg"), "salt", "n")))
+    keys = ["window_id", "weight_u"]
+    classes = over.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("weight_u")).alias("neg"), "n")))
     pieces = (
         spread(classes, "window_id").groupBy("window_id")
         .agg(rows.alias("r"))
         .withColumn("size", F.transform("r.neg", lambda x: -x))
         .withColumn("p", _runs_udf("size", "r.n"))
-        .withColumn("p", F.explode(F.arrays_zip(*[F.col(f"p.{f}").alias(f) for f in _PIECE])))
+        .withColumn("p", F.explode_outer(F.arrays_zip(*[F.col(f"p.{f}").alias(f) for f in _PIECE])))
         .select(
-            "window_id",
-            F.element_at("size", F.col("p.c").cast("int") + 1).alias("weight_u"),
-            F.element_at("r.salt", F.col("p.c").cast("int") + 1).alias("salt"),
-            "p.rank", "p.items", "p.bin", "p.per",
+            "window_id", F.element_at("size", F.col("p.c").cast("int") + 1).alias("weight_u"), "p.rank", "p.items", "p.bin", "p.per",
         )
     )
-    w = Window.partitionBy(*keys).orderBy("earliest_s", "shipment_id")
-    ranked = salted.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
+    placed = ranked(over, keys, "shipment_id", "_rank", ("earliest_s",)).withColumn("_rank", F.col("_rank") - 1)
     hit = (F.col("_rank") >= F.col("rank")) & (F.col("_rank") < F.col("rank") + F.col("items"))
-    a, b = ranked.alias("a"), pieces.alias("b")
+    a, b = placed.alias("a"), pieces.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     bin_no = F.col("bin") + F.floor((F.col("_rank") - F.col("rank")) / F.col("per"))
-    return a.join(b, on[0] & on[1] & on[2] & hit).select(
-        *[F.col(f"a.{c}") for c in over.columns], bin_no.alias("bin_no")
-    )
+    return a.join(b, on[0] & on[1] & hit).select(*[F.col(f"a.{c}") for c in over.columns], bin_no.alias("bin_no"))

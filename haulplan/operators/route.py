@@ -1,8 +1,8 @@
 """Route filter: volume split, direction split and stop order inside a group.
 
 Groups arrive as one row with their item list, which the payload cap bounds.
-Pair tests of all groups in an Arrow batch run as one numpy call; no pairs
-leave the helper.
+An item is tested against its whole group in one numpy call, when it is first
+asked for; no pairs leave the helper.
 """
 
 from __future__ import annotations
@@ -130,9 +130,6 @@ def stop_order(members: list[int], deadline, km, closed: bool = True) -> list[in
     return tour
 
 
-PAIRS_AT_ONCE = 64  # groups up to this size are tested in the batch call
-
-
 def split_group(n: int, volume, deadline, pair_ok, pair_km, cap: float) -> list[list[int]]:
     whole = [list(range(n))]
     if sum(volume) > cap:
@@ -149,32 +146,18 @@ def plan_batch(plat, plng, dlat, dlng, volume, deadline, bearing_limit, detour_l
     limits = (np.repeat(np.asarray(bearing_limit, float), sizes), np.repeat(np.asarray(detour_limit, float), sizes))
     tester = PairTester(*flat, *limits)
 
-    triu = {int(s): np.triu_indices(s, 1) for s in np.unique(sizes) if s <= PAIRS_AT_ONCE}
-    batched = [g for g, s in enumerate(sizes) if s <= PAIRS_AT_ONCE]
-    left = np.concatenate([triu[sizes[g]][0] + offset[g] for g in batched] or [np.empty(0, int)]).astype(int)
-    right = np.concatenate([triu[sizes[g]][1] + offset[g] for g in batched] or [np.empty(0, int)]).astype(int)
-    ok, km = tester.test(left, right)
-    ok, km = ok.tolist(), km.tolist()
-
-    out, at = [], 0
+    out = []
     for g, n in enumerate(sizes.tolist()):
-        if n <= PAIRS_AT_ONCE:
-            # position of pair (i, j), i < j, in the row-wise upper triangle
-            base = at
-            at += n * (n - 1) // 2
-            where = lambda i, j, n=n, base=base: base + (i * (2 * n - i - 1)) // 2 + (j - i - 1)
-            pair_ok = lambda i, j: ok[where(min(i, j), max(i, j))]
-            pair_km = lambda i, j: km[where(min(i, j), max(i, j))] if i != j else 0.0
-        else:
-            rows = {}
+        rows = {}
 
-            def row(i, base=int(offset[g]), n=n, rows=rows):
-                if i not in rows:
-                    rows[i] = tester.test(np.full(n, base + i), np.arange(base, base + n))
-                return rows[i]
+        def row(i, base=int(offset[g]), n=n, rows=rows):
+            """Tests of item i against its whole group, made when first asked for."""
+            if i not in rows:
+                rows[i] = tester.test(np.full(n, base + i), np.arange(base, base + n))
+            return rows[i]
 
-            pair_ok = lambda i, j: bool(row(i)[0][j])
-            pair_km = lambda i, j: float(row(i)[1][j])
+        pair_ok = lambda i, j: bool(row(i)[0][j])
+        pair_km = lambda i, j: float(row(i)[1][j])
         out.append(split_group(n, list(volume[g]), list(deadline[g]), pair_ok, pair_km, cap))
     return out
 
@@ -212,7 +195,8 @@ def split_routes(groups: DataFrame, bearing_limit: Column, detour_limit: Column)
         groups.filter(F.size("items") > 1)
         .withColumn("_routes", routes)
         .withColumn("routes_in_group", F.size("_routes"))
-        .select("*", F.posexplode("_routes").alias("route_no", "_stops"))
+        # the outer form adds no filter on the helper's result, which would run it twice
+        .select("*", F.posexplode_outer("_routes").alias("route_no", "_stops"))
         .withColumn("items", F.expr("transform(_stops, i -> items[i])"))
         .drop("_routes", "_stops")
     )

@@ -85,7 +85,8 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def csv_planning_rows(valid: DataFrame, period: Column | None = None) -> DataFrame:
     """Validated CSV rows in the planner's input form.
 
-    Without ``period`` all rows belong to one planning run.
+    Without ``period`` the day of the earliest delivery is the planning run. A
+    row without an id is named by a digest of its own content.
     """
     cols = set(valid.columns)
 
@@ -95,9 +96,12 @@ def csv_planning_rows(valid: DataFrame, period: Column | None = None) -> DataFra
             return (F.coalesce(c, F.lit(default)) if default is not None else c).alias(name)
         return F.lit(default).cast(dtype).alias(name)
 
+    content = F.md5(F.to_json(F.struct(*[F.col(c) for c in valid.columns if c != "shipment_id"])))
+    unnamed = F.concat(F.lit("row-"), content)
+    own_id = F.coalesce(F.nullif(F.trim(F.col("shipment_id").cast("string")), F.lit("")), unnamed) if "shipment_id" in cols else unnamed
     return valid.select(
-        opt("shipment_id", "string", "?"),
-        (period if period is not None else F.lit("all")).cast("string").alias("period"),
+        own_id.alias("shipment_id"),
+        (period if period is not None else F.to_date(F.timestamp_seconds("earliest_s"))).cast("string").alias("period"),
         "pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng", "weight_kg",
         opt("length_cm", "int"), opt("width_cm", "int"), opt("height_cm", "int"),
         "earliest_s", "latest_s",

@@ -16,10 +16,12 @@ from ..sources.fleet import BY_PAYLOAD, FLEET, LARGEST
 def fitting_vehicles(kg: str, volume: str) -> Column:
     """Vehicle types that take a load, smallest payload first.
 
-    By weight and volume where any type does, else by weight only. The fleet
+    By weight and volume where any type does, else by weight only. Volume
+    beyond the largest hold is taken at half, at most one full hold. The fleet
     is a literal array, so the inequality join happens inside the row.
     """
-    fleet = fleet_literal()
+    fleet, hold = fleet_literal(), f"{LARGEST.hold_cm3}D"
+    volume = f"IF({volume} > {hold}, least({volume} * 0.5D, {hold}), {volume})"
     both = f"filter({fleet}, v -> v.kg >= {kg} AND v.cm3 >= {volume})"
     weight = f"filter({fleet}, v -> v.kg >= {kg})"
     return F.expr(f"transform(IF(size({both}) > 0, {both}, {weight}), v -> v.name)")
@@ -51,19 +53,25 @@ def split_oversize(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def choose_vehicles(routes: DataFrame) -> DataFrame:
-    """Truck weight, volume, distance and the right-sized vehicle per route."""
+    """Truck weight, volume, distance and the right-sized vehicle per route.
+
+    The weight is a sum of whole grams, so a load of exactly the payload fits.
+    A route that no vehicle carries is an error: those are split off before.
+    """
     total = lambda e: F.expr(f"aggregate(items, 0D, (a, x) -> a + {e})")
     sides = [f"coalesce(nullif(double(x.{s}), 0D), 1D)" for s in ("length_cm", "width_cm", "height_cm")]
     df = routes.withColumns(
         {
-            "weight_kg": total("x.weight_kg"),
+            "weight_kg": F.expr(f"aggregate(items.weight_u, 0L, (a, x) -> a + x) / {float(K.WEIGHT_UNITS_PER_KG)}D"),
             "box_cm3": total(" * ".join(sides)),
             "route_km_used": F.array_max("items.route_km"),
         }
     )
     df = df.withColumn("convoy", F.col("box_cm3") > LARGEST.hold_cm3)
     chosen = best_vehicle("weight_kg", "box_cm3", "route_km_used")
-    return df.withColumn("assigned_vehicle", F.when(F.col("convoy"), F.lit(LARGEST.name)).otherwise(chosen))
+    chosen = F.when(F.col("convoy"), F.lit(LARGEST.name)).otherwise(chosen)
+    missing = F.raise_error(F.concat(F.lit("no vehicle carries route "), "route_id"))
+    return df.withColumn("assigned_vehicle", F.coalesce(chosen, missing))
 
 
 SPEC = {
@@ -101,20 +109,21 @@ def truck_figures(loaded: DataFrame) -> DataFrame:
 RANK_BUCKETS = 3  # hex digits of the md5 used to cut a long ranking
 
 
-def ranked(df: DataFrame, keys: list[str], id_col: str, out: str = "rank") -> DataFrame:
-    """Exact 1-based rank of ``id_col`` within ``keys`` without a single sorted pile.
+def ranked(df: DataFrame, keys: list[str], id_col: str, out: str = "rank", order: tuple[str, ...] = ()) -> DataFrame:
+    """Exact 1-based rank within ``keys`` without a single sorted pile.
 
-    Rows are ordered by the first digits of the id's md5, then by id. Bucket
+    Rows are ordered by ``order``, the first digits of the id's md5, then by id. Bucket
     counts give each bucket its offset, so a key that holds a third of all
     rows is still ranked by thousands of tasks.
     """
     cut = df.withColumn("_b", F.substring(F.md5(F.col(id_col)), 1, RANK_BUCKETS))
-    sizes = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(id_col)
+    parts = [*keys, *order, "_b"]
+    sizes = cut.groupBy(*parts).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*order, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*parts).orderBy(id_col)
     return (
-        cut.join(offsets, [*keys, "_b"])
+        cut.join(offsets, parts)
         .withColumn(out, F.col("_off") + F.row_number().over(inside))
         .drop("_b", "_off")
     )
@@ -128,7 +137,7 @@ def vehicle_numbers(trucks: DataFrame, keys=("scenario_id", "period")) -> DataFr
     return numbered.withColumn("assigned_vehicle_no", F.when(F.col("vehicle_rank") == 1, listed).otherwise(overflow))
 
 
-def pool_status(trucks: DataFrame, fleet: DataFrame, keys=("scenario_id", "period")) -> DataFrame:
+def pool_status(trucks: DataFrame, keys=("scenario_id", "period")) -> DataFrame:
     """Per vehicle type: vehicles known (listed and overflow), busy, available."""
     used = trucks.groupBy(*keys, F.col("assigned_vehicle").alias("name")).agg(F.count("*").alias("busy"))
     runs = trucks.select(*keys).distinct()
@@ -142,8 +151,15 @@ def pool_status(trucks: DataFrame, fleet: DataFrame, keys=("scenario_id", "perio
     )
 
 
+def clock(seconds: Column) -> Column:
+    """Time of day as HH:MM."""
+    minutes = F.floor(seconds % 86_400 / 60)
+    return F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
+
+
 def manifest(trucks: DataFrame) -> DataFrame:
-    """Dispatch manifest: sixteen columns per truck."""
+    """Dispatch manifest: eighteen columns per truck, ``dispatch_from`` and ``dispatch_to`` being clock times."""
+    day = lambda f: F.transform(f"items.{f}", lambda s: s % 86_400)
     return trucks.select(
         "truck_id", F.col("assigned_vehicle").alias("vehicle_name"), "vehicle_class",
         F.concat_ws(",", F.array_sort("items.shipment_id")).alias("shipment_ids"),
@@ -152,6 +168,7 @@ def manifest(trucks: DataFrame) -> DataFrame:
         F.col("weight_utilization").alias("weight_util"), F.col("volume_utilization").alias("volume_util"),
         F.col("spatial_utilization").alias("spatial_util"), F.col("route_km_used").alias("route_km"),
         F.col("cost_estimate_inr").alias("cost_inr"), F.col("co2_kg_estimate").alias("co2_kg"),
+        clock(F.array_min(day("earliest_s"))).alias("dispatch_from"), clock(F.array_max(day("latest_s"))).alias("dispatch_to"),
         "axle_balance_ok", "convoy", F.lit(1).alias("convoy_position"), "stacking_layers",
         *[c for c in ("scenario_id", "period", "assigned_vehicle_no") if c in trucks.columns],
     )

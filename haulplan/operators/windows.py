@@ -98,7 +98,7 @@ def window_groups(windows: DataFrame, keys: list[str]) -> DataFrame:
         F.col("r.earliest_s").alias("earliest_s"), F.col("g.k").alias("k"),
         F.col("g.n").alias("n"), F.col("g.u").alias("u"),
     )
-    return packed.select(*keys, "island", F.explode(z).alias("z")).select(
+    return packed.select(*keys, "island", F.explode_outer(z).alias("z")).select(
         *keys, "z.earliest_s",
         F.struct("island", F.col("z.k").alias("k")).alias("window_no"),
         F.col("z.n").alias("group_n"), F.col("z.u").alias("group_u"),

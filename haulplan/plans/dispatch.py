@@ -11,7 +11,6 @@ from ..functions.measures import consolidation_type
 from ..operators.loading import axle_balance, load_plan
 from ..operators.route import annotate_routes, split_routes
 from ..operators.vehicles import choose_vehicles, split_oversize, truck_figures, with_hold
-from ..operators.payload import ROWS_PER_SALT
 from ..session import Stages
 from .grouping import ITEM_FIELDS, Grouping, group_shipments, lane_label
 from .params import BALANCED, scenario_value
@@ -70,7 +69,6 @@ def run_plan(
     cache: DataFrame | None = None,
     decisions: DataFrame | None = None,
     stages: Stages | None = None,
-    rows_per_salt: int = ROWS_PER_SALT,
     strict: bool = True,
     rotate: bool = True,
 ) -> Run:
@@ -79,16 +77,19 @@ def run_plan(
     Every valid shipment ends on exactly one truck or in the exceptions.
     """
     stages = stages or Stages(spark)
-    grouping = group_shipments(rows, scenarios, stages, cache=cache, decisions=decisions, rows_per_salt=rows_per_salt)
+    grouping = group_shipments(rows, scenarios, stages, cache=cache, decisions=decisions)
     routes = stages.save(route_groups(grouping.groups, scenarios), "routes")
     trucks, exceptions = pack_routes(routes, strict, rotate)
     return Run(grouping, routes, stages.save(trucks, "trucks"), exceptions)
 
 
 def truck_shipments(trucks: DataFrame) -> DataFrame:
-    """One row per shipment with its truck's figures."""
+    """One row per shipment with its truck's figures; those that share a name with a shipment's field are ``truck_...``."""
+    fields = (*ITEM_FIELDS, "route_km", "route_bearing")
     figures = [c for c in trucks.columns if c not in ("items", "load", "stop_sequence", "hold")]
-    return trucks.select(*figures, F.posexplode("items").alias("_pos", "_item")).select(
-        *figures, (F.col("_pos") + 1).alias("stop_position"),
-        *[F.col(f"_item.{f}").alias(f if f not in figures else f"shipment_{f}") for f in (*ITEM_FIELDS, "route_km", "route_bearing")],
+    return trucks.select(
+        *[F.col(c).alias(f"truck_{c}" if c in fields else c) for c in figures], F.posexplode("items").alias("_pos", "_item")
+    ).select(
+        *[f"truck_{c}" if c in fields else c for c in figures], (F.col("_pos") + 1).alias("stop_position"),
+        *[F.col(f"_item.{f}").alias(f) for f in fields],
     )

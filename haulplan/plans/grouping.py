@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..functions.measures import consolidation_type, weight_units
 from ..operators.clusters import add_up, lane_clusters
 from ..operators.corridor import corridor_pairs
-from ..operators.payload import ROWS_PER_SALT, split_payload
+from ..operators.payload import split_payload
 from ..operators.places import assign_places
 from ..operators.regroup import same_lane_regroup
 from ..operators.windows import window_groups
@@ -88,7 +88,7 @@ def assign_windows(shipments: DataFrame, scenarios, stages: Stages) -> tuple[Dat
     )
 
 
-def build_units(windowed: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def build_units(windowed: DataFrame) -> DataFrame:
     """Window groups cut to the payload cap, one row per resulting load.
 
     A load weighs at most one truck's payload, so its item list is bounded.
@@ -102,7 +102,7 @@ def build_units(windowed: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> Data
         F.col("window_id").alias("unit_id"), *carried, F.lit(1).alias("n"), F.array(F.struct(*ITEM_FIELDS)).alias("items")
     )
     kept = windowed.filter(~alone & ~over).select(*cols, F.col("window_id").alias("unit_id"))
-    cut = split_payload(windowed.filter(over).select(*cols), rows_per_salt).select(
+    cut = split_payload(windowed.filter(over).select(*cols)).select(
         *cols, F.concat("window_id", F.lit("|b"), F.col("bin_no").cast("string")).alias("unit_id")
     )
     item = F.struct((-F.col("weight_u")).alias("neg"), F.col("earliest_s").alias("at"), *ITEM_FIELDS)
@@ -190,11 +190,12 @@ def annotate(groups: DataFrame) -> DataFrame:
 
 
 def group_shipments(
-    rows: DataFrame, scenarios, stages: Stages, *, cache=None, decisions=None, rows_per_salt: int = ROWS_PER_SALT
+    rows: DataFrame, scenarios, stages: Stages, *, cache=None, decisions=None
 ) -> Grouping:
     shipments = place_shipments(rows, cache, stages)
     windowed, lanes = assign_windows(shipments, scenarios, stages)
     windowed = stages.save(windowed, "windowed")
-    units = stages.save(build_units(windowed, rows_per_salt), "units")
+    units = stages.save(build_units(windowed), "units")
     unit_map = merge_singles(units, scenarios, decisions, stages)
-    return Grouping(shipments, lanes, units, unit_map, build_groups(units, unit_map))
+    groups = stages.save(build_groups(units, unit_map), "groups")
+    return Grouping(shipments, lanes, units, unit_map, groups)

@@ -38,16 +38,21 @@ def values(rows, alias: str) -> str:
     return f"(VALUES {text}) AS {alias}"
 
 
-SHIP = f"""hub AS (SELECT * FROM {values([(i, *h) for i, h in enumerate(HUBS)], "h(hub_id, hub, lat, lng)")}),
-dst AS (SELECT * FROM {values([(i, *d) for i, d in enumerate(DESTINATIONS)], "d(hub_id, hub, lat, lng)")}),
-goods AS (SELECT * FROM {values(list(enumerate(GOODS)), "g(goods_id, goods)")}),
-ship AS (
+def pick(values, index: str) -> str:
+    """An element of a short fixed list."""
+    text = ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in values)
+    return f"([{text}])[CAST({index} AS BIGINT) + 1]"
+
+
+_HUB, _DST = "l_suppkey % 10", "o_custkey % 12"
+# materialised and without joins to literal tables, so that no plan depends on their estimated sizes
+SHIP = f"""ship AS MATERIALIZED (
  SELECT concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR), '-', CAST(l_partkey AS VARCHAR), '-',
                CAST(l_suppkey AS VARCHAR), '-', CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS shipment_id,
-  hub.lat + CAST(l_partkey % 121 - 60 AS DOUBLE) / 1000e0 AS pickup_lat,
-  hub.lng + CAST((l_suppkey * 7 + l_linenumber) % 121 - 60 AS DOUBLE) / 1000e0 AS pickup_lng,
-  dst.lat + CAST(o_custkey % 141 - 70 AS DOUBLE) / 1000e0 AS delivery_lat,
-  dst.lng + CAST((o_custkey * 3 + l_linenumber) % 141 - 70 AS DOUBLE) / 1000e0 AS delivery_lng,
+  {pick([h[1] for h in HUBS], _HUB)} + CAST(l_partkey % 121 - 60 AS DOUBLE) / 1000e0 AS pickup_lat,
+  {pick([h[2] for h in HUBS], _HUB)} + CAST((l_suppkey * 7 + l_linenumber) % 121 - 60 AS DOUBLE) / 1000e0 AS pickup_lng,
+  {pick([d[1] for d in DESTINATIONS], _DST)} + CAST(o_custkey % 141 - 70 AS DOUBLE) / 1000e0 AS delivery_lat,
+  {pick([d[2] for d in DESTINATIONS], _DST)} + CAST((o_custkey * 3 + l_linenumber) % 141 - 70 AS DOUBLE) / 1000e0 AS delivery_lng,
   l_quantity * CASE WHEN l_linenumber = 7 THEN 450e0 ELSE 180e0 END + CAST(p_size * 10 AS DOUBLE) AS weight_kg,
   CAST(60 + (p_partkey * 37) % 460 AS INT) AS length_cm,
   CAST(50 + (p_partkey * 17) % 160 AS INT) AS width_cm,
@@ -56,9 +61,8 @@ ship AS (
   CAST(CAST(date_trunc('week', l_shipdate) AS DATE) AS VARCHAR) AS period,
   CAST(360 + (l_partkey * 13 + l_linenumber * 41) % 600 AS INT) AS earliest_min,
   CAST(480 + (l_partkey * 13 + l_linenumber * 41) % 600 + (l_suppkey * 11) % 121 AS INT) AS latest_min,
-  goods AS goods_type, hub.hub AS pickup_hub, dst.hub AS delivery_hub
+  {pick(GOODS, "p_partkey % 8")} AS goods_type, {pick([h[0] for h in HUBS], _HUB)} AS pickup_hub, {pick([d[0] for d in DESTINATIONS], _DST)} AS delivery_hub
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
- JOIN hub ON hub.hub_id = l_suppkey % 10 JOIN dst ON dst.hub_id = o_custkey % 12 JOIN goods ON goods_id = p_partkey % 8
 )"""
 
 E = ("pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng")
@@ -189,7 +193,7 @@ samples AS (SELECT {zone(*E[:2], 8, STEPS[8])} AS zone_id, period AS run, {mean3
  FROM solo WHERE load_factor >= 1e-2 GROUP BY 1, 2)"""
 
 _AVG = rnd("5e-1 * sample_lf + 5e-1 * prev", 4)
-ZONES = SAMPLES.replace("hub AS (", "RECURSIVE hub AS (", 1) + f""",
+ZONES = SAMPLES.replace("ship AS", "RECURSIVE ship AS", 1) + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY run) AS rn FROM samples),
 fold AS (
  SELECT zone_id, rn, run, 8 AS resolution, {rnd('5e-1 * sample_lf + 5e-1 * sample_lf', 4)} AS avg, {rnd('sample_lf', 4)} AS last,
@@ -205,8 +209,6 @@ fold AS (
 ),
 zones AS (SELECT * FROM (SELECT *, max(rn) OVER (PARTITION BY zone_id) AS top FROM fold) WHERE rn = top)"""
 
-SINGLES = SHIP + """,
-singles AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY ship_week, pickup_hub, delivery_hub) AS lane_n FROM ship) WHERE lane_n = 1)"""
 _NEAR = (
     "EXISTS (SELECT 1 FROM singles t WHERE t.ship_week = s.ship_week AND t.shipment_id <> s.shipment_id "
     f"AND {rnd(hav('s.pickup_lat', 's.pickup_lng', 't.pickup_lat', 't.pickup_lng'), 6)} <= 60 "
@@ -238,7 +240,7 @@ feed AS (SELECT shipment_id, CASE WHEN length_cm % 50 <> 0 THEN pickup_lat END A
   CASE WHEN width_cm % 41 = 0 THEN e_txt ELSE l_txt END AS latest_delivery FROM feed0)"""
 
 _RIGHT = "latest_min * 60 - 1800"
-GROUPS = SHIP.replace("hub AS (", "RECURSIVE hub AS (", 1) + f""",
+GROUPS = SHIP.replace("ship AS", "RECURSIVE ship AS", 1) + f""",
 starts AS (SELECT period, pickup_hub, delivery_hub, earliest_min * 60 AS e, min({_RIGHT}) AS r FROM ship GROUP BY ALL),
 ends AS (SELECT *, min(r) OVER (PARTITION BY period, pickup_hub, delivery_hub ORDER BY e ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stab,
   row_number() OVER (PARTITION BY period, pickup_hub, delivery_hub ORDER BY e) AS i FROM starts),
@@ -248,10 +250,20 @@ heads AS (SELECT * FROM jump WHERE i = 1 UNION ALL
   SELECT j.* FROM heads h JOIN jump j ON j.period = h.period AND j.pickup_hub = h.pickup_hub AND j.delivery_hub = h.delivery_hub AND j.i = h.nxt)"""
 
 
+# shipments whose window group has no other member
+SINGLES = GROUPS + """,
+member AS MATERIALIZED (SELECT s.*, h.i AS grp FROM heads h JOIN ship s ON s.period = h.period AND s.pickup_hub = h.pickup_hub AND s.delivery_hub = h.delivery_hub
+  AND s.earliest_min * 60 >= h.e AND s.earliest_min * 60 <= h.stab),
+singles AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY period, pickup_hub, delivery_hub, grp) AS mates FROM member) WHERE mates = 1)"""
+
+
 def manifest_sql() -> str:
     return (
         f"WITH {SOLO} SELECT shipment_id, name AS vehicle_name, cls AS vehicle_class, kg AS weight_kg, load_factor, weight_util, volume_util, "
-        "spatial_util, km AS route_km, cost_inr, co2_kg, true AS axle_balance_ok, cm3 > 79380000 AS convoy, "
+        "spatial_util, km AS route_km, cost_inr, co2_kg, "
+        "printf('%02d:%02d', earliest_min // 60 % 24, earliest_min % 60) AS dispatch_from, "
+        "printf('%02d:%02d', latest_min // 60 % 24, latest_min % 60) AS dispatch_to, "
+        "true AS axle_balance_ok, cm3 > 79380000 AS convoy, "
         "CAST(CASE WHEN placed THEN 1 ELSE 0 END AS INT) AS stacking_layers, period FROM solo"
     )
 
@@ -266,9 +278,9 @@ def explanation_sql() -> str:
 
 
 _POOL = "(VALUES " + ", ".join(f"('{v.name}')" for v in FLEET) + ") AS n(name)"
-_SAVE = f"""WITH {SOLO}, t AS (SELECT count(*) AS trips, sum(cost_inr) AS ccost, CAST(sum(CAST(round(co2_kg * 100) AS BIGINT)) AS DOUBLE) / 100e0 AS cco2,
- sum({float(LARGEST.fixed_cost_per_trip)!r}::DOUBLE + {float(LARGEST.cost_per_km)!r}::DOUBLE * km) AS cost,
- sum(({LARGEST.co2_per_km_kg!r}::DOUBLE + {LARGEST.co2_per_ton_km!r}::DOUBLE * (weight_kg / 1000e0)) * km) AS co2 FROM solo)
+_SAVE = f"""WITH {SOLO}, t AS (SELECT count(*) AS trips, CAST(sum(CAST(round(cost_inr * 100) AS BIGINT)) AS DOUBLE) / 100e0 AS ccost, CAST(sum(CAST(round(co2_kg * 100) AS BIGINT)) AS DOUBLE) / 100e0 AS cco2,
+ CAST(sum(CAST(round(({float(LARGEST.fixed_cost_per_trip)!r}::DOUBLE + {float(LARGEST.cost_per_km)!r}::DOUBLE * km) * 10000) AS BIGINT)) AS DOUBLE) / 10000e0 AS cost,
+ CAST(sum(CAST(round(({LARGEST.co2_per_km_kg!r}::DOUBLE + {LARGEST.co2_per_ton_km!r}::DOUBLE * (weight_kg / 1000e0)) * km * 10000) AS BIGINT)) AS DOUBLE) / 10000e0 AS co2 FROM solo)
 SELECT trips AS solo_trips, trips AS consolidated_trips, {big('0')} AS trips_saved, 0e0 AS trip_reduction_pct, {rnd('cost')} AS solo_cost_inr,
  {rnd('ccost')} AS cons_cost_inr, {rnd('cost - ccost')} AS cost_saved_inr, {pct('(cost - ccost)', 'cost')} AS cost_saving_pct, {rnd('co2', 1)} AS solo_co2_kg,
  {rnd('cco2', 1)} AS cons_co2_kg, {rnd('co2 - cco2', 1)} AS co2_saved_kg, {pct('(co2 - cco2)', 'co2')} AS co2_saving_pct FROM t"""
@@ -315,7 +327,8 @@ FROM ship s LEFT JOIN ship t ON s.ship_week = t.ship_week AND s.pickup_hub = t.p
     "unavoidable_singletons": f"WITH {SINGLES} SELECT shipment_id FROM singles s WHERE NOT {_NEAR}",
     "singleton_share": f"""WITH {SINGLES}, f AS (SELECT {_NEAR} AS missed FROM singles s), c AS (SELECT count(*) AS n, count(*) FILTER (missed) AS m FROM f)
 SELECT n AS singletons, m AS missed, {rnd('CAST(n - m AS DOUBLE) / n * 100e0')} AS unavoidable_pct, 100e0 - {rnd('CAST(n - m AS DOUBLE) / n * 100e0')} AS missed_pct FROM c""",
-    "vehicle_fit": f"""WITH {SHIP}, {FLEET_CTE}, m AS (SELECT shipment_id, name, pos, hold >= CAST(length_cm * width_cm * height_cm AS DOUBLE) AS both_ok FROM ship JOIN fleet ON max_kg >= weight_kg),
+    "vehicle_fit": f"""WITH {SHIP}, {FLEET_CTE}, m AS (SELECT shipment_id, name, pos, hold >= CASE WHEN cm3 > {LARGEST.hold_cm3!r}::DOUBLE THEN least(cm3 * 5e-1, {LARGEST.hold_cm3!r}::DOUBLE) ELSE cm3 END AS both_ok
+ FROM (SELECT shipment_id, weight_kg, CAST(length_cm AS DOUBLE) * width_cm * height_cm * CASE WHEN length_cm % 7 = 0 THEN 8 ELSE 1 END AS cm3 FROM ship) JOIN fleet ON max_kg >= weight_kg),
  k AS (SELECT *, bool_or(both_ok) OVER (PARTITION BY shipment_id) AS any_both FROM m), g AS (SELECT shipment_id, count(*) AS n, string_agg(name, ';' ORDER BY pos) AS v FROM k WHERE both_ok OR NOT any_both GROUP BY 1)
 SELECT s.shipment_id, CAST(coalesce(n, 0) AS INT) AS n_fits, coalesce(v, '') AS vehicles FROM ship s LEFT JOIN g ON g.shipment_id = s.shipment_id""",
     "best_vehicle": f"WITH {BEST} SELECT s.shipment_id, coalesce(name, 'OVERSIZE') AS vehicle FROM ship s LEFT JOIN best b ON s.shipment_id = b.shipment_id",

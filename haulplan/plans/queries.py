@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.geo import bearing_deg, bearing_diff, detour_multiplier, detour_offset, haversine_km, road_km, zone_id
 from ..functions.measures import best_vehicle, pack_volume_cm3, route_volume_cm3, truck_tags, weight_units
 from ..functions.rounding import rnd
@@ -32,7 +33,7 @@ def forget() -> None:
     _kept.clear()
 
 
-def _keep(spark: SparkSession, name: str, make):
+def keep(spark: SparkSession, name: str, make):
     key = (spark.sparkContext.applicationId, name)
     if key not in _kept:
         _kept[key] = make()
@@ -45,11 +46,11 @@ def ends() -> list[Column]:
 
 def balanced_run(spark: SparkSession, sf: str) -> Run:
     """The default run, planned once per session; its stages are tables."""
-    return _keep(spark, f"balanced {sf}", lambda: run_plan(spark, planning_rows(shipments_view(spark, sf)), (BALANCED,)))
+    return keep(spark, f"balanced {sf}", lambda: run_plan(spark, planning_rows(shipments_view(spark, sf)), (BALANCED,)))
 
 
 def sweep_run(spark: SparkSession, sf: str) -> Run:
-    return _keep(spark, f"sweep {sf}", lambda: run_plan(spark, planning_rows(shipments_view(spark, sf)), PRESETS))
+    return keep(spark, f"sweep {sf}", lambda: run_plan(spark, planning_rows(shipments_view(spark, sf)), PRESETS))
 
 
 def solo_routes(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +76,7 @@ def solo_trucks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         trucks, exceptions = pack_routes(solo_routes(spark, sf))
         return Stages(spark).save(trucks, "solo_trucks"), exceptions
 
-    return _keep(spark, f"solo {sf}", make)
+    return keep(spark, f"solo {sf}", make)
 
 
 # --- geo ------------------------------------------------------------------
@@ -213,22 +214,21 @@ def travel_compat_pairs(spark, sf):
 
 
 def lane_singles(spark, sf) -> DataFrame:
-    """Shipments that are alone on their lane in their week."""
-    view = shipments_view(spark, sf)
-    fields = [c for c in view.columns if c not in LANE]
-    return (
-        view.groupBy(*LANE)
-        .agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in fields])
-        .filter("n = 1")
-        .drop("n")
+    """Shipments that the window grouping leaves alone on their lane and week."""
+    view = Stages(spark).save(shipments_view(spark, sf), "view").withColumns(
+        {"earliest_s": F.col("earliest_min").cast("long") * 60, "latest_s": F.col("latest_min").cast("long") * 60}
     )
+    spans = view.groupBy(*LANE, "earliest_s", "latest_s").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("u"))
+    borders = windows.window_groups(spans.withColumn("min_overlap_s", F.lit(1800).cast("long")), LANE)
+    lone = borders.filter("group_n = 1").select(*LANE, "earliest_s")
+    return view.join(lone, [*LANE, "earliest_s"]).drop("earliest_s", "latest_s")
 
 
 def corridor_candidates(spark, sf):
     """Candidate pairs among lone shipments of one week and pickup hub.
 
-    A hub has at most one lone shipment per destination and week, so the pairs
-    are bounded by the destinations.
+    A hub has at most one lone shipment per destination and window group, so
+    the pairs are bounded by destinations and clock.
     """
     s = lane_singles(spark, sf)
     cols = {"id": "shipment_id", "plat": ENDS[0], "plng": ENDS[1], "dlat": ENDS[2], "dlng": ENDS[3], "place": "delivery_hub", "kg": "weight_kg", "e": "earliest_min", "t": "latest_min"}
@@ -279,7 +279,9 @@ def singleton_share(spark, sf):
 
 
 def vehicle_fit(spark, sf):
-    df = shipments_view(spark, sf).withColumn("cm3", pack_volume_cm3("length_cm", "width_cm", "height_cm"))
+    # every seventh box size eight times as large, so that some exceed every hold
+    scale = F.when(F.col("length_cm") % 7 == 0, F.lit(8.0)).otherwise(F.lit(1.0))
+    df = shipments_view(spark, sf).withColumn("cm3", pack_volume_cm3("length_cm", "width_cm", "height_cm") * scale)
     df = df.withColumn("fits", vehicles.fitting_vehicles("weight_kg", "cm3"))
     return df.select("shipment_id", F.size("fits").alias("n_fits"), F.array_join("fits", ";").alias("vehicles"))
 
@@ -309,7 +311,7 @@ def vehicle_numbers(spark, sf):
 
 
 def pool_status(spark, sf):
-    return vehicles.pool_status(solo_trucks(spark, sf)[0], fleet_df(spark)).select("period", "name", "total", "busy", "available")
+    return vehicles.pool_status(solo_trucks(spark, sf)[0]).select("period", "name", "total", "busy", "available")
 
 
 def stop_list(spark, sf):
@@ -423,7 +425,7 @@ def window_groups(spark, sf):
     spans = spans.withColumn("min_overlap_s", F.lit(1800).cast("long"))
     borders = windows.window_groups(spans, keys)
     return spans.join(borders.select(*keys, "earliest_s", "window_no"), [*keys, "earliest_s"]).groupBy(*keys, "window_no").agg(
-        F.min("earliest_s").alias("first_start_s"), F.sum("n").alias("shipments"), (F.sum("u") / 10.0).alias("weight_kg"),
+        F.min("earliest_s").alias("first_start_s"), F.sum("n").alias("shipments"), (F.sum("u") / float(K.WEIGHT_UNITS_PER_KG)).alias("weight_kg"),
         (F.min("latest_s") - F.max("earliest_s")).alias("common_s"),
     ).drop("window_no")
 
@@ -568,7 +570,9 @@ def axle_report(spark, sf):
 
 def convoy(spark, sf):
     """Convoys for the weekly demand of a lane where it exceeds the largest truck."""
-    rows = shipments_view(spark, sf).withColumn("weight_u", weight_units(F.col("weight_kg")))
+    rows = shipments_view(spark, sf).withColumns(
+        {"weight_u": weight_units(F.col("weight_kg")), "earliest_s": F.col("earliest_min").cast("long") * 60}
+    )
     c = loading.convoys(rows, LANE)
     return c.select(*LANE, "section", "convoy_truck_num", "convoy_truck_count", F.size("items").alias("shipments"), "weight_kg")
 
@@ -585,7 +589,8 @@ def run_savings(spark, sf):
 
 
 def flat_metrics(spark, sf):
-    return metrics.flat_metrics(balanced_run(spark, sf).trucks)
+    run = balanced_run(spark, sf)
+    return metrics.flat_metrics(run.trucks, run.exceptions)
 
 
 def stage_counts(spark, sf):
@@ -598,6 +603,12 @@ def run_report(spark, sf):
     return df.select("scenario_id", *[F.to_json(c).alias(c) for c in df.columns if c != "scenario_id"])
 
 
+def run_report_lanes(spark, sf):
+    """The report's lane section: every lane of the run, largest first."""
+    lanes = metrics.lane_efficiency(balanced_run(spark, sf).trucks)
+    return lanes.orderBy("scenario_id", F.desc("shipments"), "lane")
+
+
 def feature_table(spark, sf):
     return feasibility.with_labels(feasibility.feature_table(balanced_run(spark, sf).trucks))
 
@@ -693,6 +704,7 @@ QUERIES = {
     "flat_metrics": flat_metrics,
     "stage_counts": stage_counts,
     "run_report": run_report,
+    "run_report_lanes": run_report_lanes,
     "feature_table": feature_table,
     "gbt_scores": gbt_scores,
     "run_zone_state": run_zone_state,

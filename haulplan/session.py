@@ -58,15 +58,6 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(count, *keys)
 
 
-def widen(scan: DataFrame) -> DataFrame:
-    """Use every core for a scan that has fewer splits than cores.
-
-    A large table has far more splits than cores and passes through unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 class Stages:
     """Writes stage results as parquet tables in the shared folder.
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import widen
-
 REQUIRED = ("pickup_lat", "pickup_lng", "weight_kg", "earliest_delivery", "latest_delivery")
 
 CSV_TYPES = {
@@ -73,12 +71,11 @@ def shipments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments derived from lineitem, orders and part.
 
     The hub lists are short fixed arrays, so only the two table joins remain.
+    Orders grow with the lineitems, so that join is always a sort-merge join.
     Windows are minutes of the planning week ``ship_week``.
     """
-    li = widen(
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
-        )
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
     )
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
@@ -90,7 +87,7 @@ def shipments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     start = (c("l_partkey") * 13 + c("l_linenumber") * 41) % 600
     return (
-        li.join(orders, c("l_orderkey") == c("o_orderkey"))
+        li.join(orders.hint("merge"), c("l_orderkey") == c("o_orderkey"))
         .join(part, c("l_partkey") == c("p_partkey"))
         .select(
             F.concat_ws(

@@ -7,11 +7,12 @@ with the package but its fixed values.
 from __future__ import annotations
 
 import math
+from hashlib import md5
 from itertools import combinations
 
 from haulplan.operators.places import CITY_BOXES
 
-CAP = 220_000
+CAP = 22_000_000
 
 
 def hav(a, b, c, d):
@@ -122,7 +123,7 @@ def cluster(rows, sc, refused=frozenset()):
                 continue
             bins = [g]
             if sum(s["u"] for s in g) > CAP:
-                bins = first_fit(sorted(g, key=lambda s: (-s["u"], s["e"], s["id"])), lambda s: s["u"], CAP)
+                bins = first_fit(sorted(g, key=lambda s: (-s["u"], s["e"], md5(s["id"].encode()).hexdigest()[:3], s["id"])), lambda s: s["u"], CAP)
             for b in bins:
                 lone.append((key, b[0])) if len(b) == 1 else done.append(b)
     for lane in sorted({(s["pp"], s["dp"]) for _, s in lone}):

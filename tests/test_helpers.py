@@ -90,8 +90,8 @@ def test_next_fit_needs_only_first_and_last_of_a_full_group():
         for k in range(rng.randint(1, 6)):
             e = k * rng.randint(1, 4)
             # more than half a truck each: no two of one group fit together
-            group = sorted((rng.randint(110_001, 200_000) if rng.random() < 0.5 else 0 for _ in range(rng.randint(1, 5))), reverse=True)
-            group = [u for u in group if u] or [rng.randint(20_000, 200_000)]
+            group = sorted((rng.randint(11_000_001, 20_000_000) if rng.random() < 0.5 else 0 for _ in range(rng.randint(1, 5))), reverse=True)
+            group = [u for u in group if u] or [rng.randint(2_000_000, 20_000_000)]
             rows = [(u, e, e + 10) for u in group]
             full += rows
             short += rows if len(rows) < 3 else [rows[0], rows[-1]]
@@ -123,20 +123,14 @@ def test_stop_order():
                 at = nxt
 
 
-def test_large_group_uses_rows_instead_of_pairs():
+def test_large_group_is_whole_beside_a_small_one():
     rng = np.random.default_rng(1)
     n = 90
     args = [rng.random(n) * s + o for s, o in ((0.1, 19), (0.1, 73), (3, 18), (3, 74))]
     kw = dict(volume=[[1.0] * n], deadline=[list(range(n))], bearing_limit=[45.0], detour_limit=[1.25])
     (many,) = plan_batch(*[[a] for a in args], **kw)
-    import haulplan.operators.route as route
-
-    old, route.PAIRS_AT_ONCE = route.PAIRS_AT_ONCE, 100
-    try:
-        (batch,) = plan_batch(*[[a] for a in args], **kw)
-    finally:
-        route.PAIRS_AT_ONCE = old
-    assert many == batch and sorted(i for r in many for i in r) == list(range(n))
+    both = plan_batch(*[[a[:5], a] for a in args], [[1.0] * 5, *kw["volume"]], [list(range(5)), *kw["deadline"]], [45.0] * 2, [1.25] * 2)
+    assert both[1] == many and sorted(i for r in many for i in r) == list(range(n))
 
 
 def test_numpy_geometry_matches_scalars():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import model
 from haulplan.operators import loading, vehicles
-from haulplan.plans.dispatch import run_plan, truck_shipments
+from haulplan.plans.dispatch import route_groups, run_plan, truck_shipments
 from haulplan.plans.params import BALANCED, PRESETS, Scenario
 from haulplan.session import Stages, shared_folder
 
@@ -40,7 +40,7 @@ def make_rows(n, seed, hubs=6, drops=6, heavy=22_500, periods=("a", "b")):
 def as_model(rows, period):
     return [
         {
-            "id": r[0], "plat": r[2], "plng": r[3], "dlat": r[4], "dlng": r[5], "u": round(r[6] * 10),
+            "id": r[0], "plat": r[2], "plng": r[3], "dlat": r[4], "dlng": r[5], "u": round(r[6] * 1000),
             "vol": float(r[7] * r[8] * r[9]), "e": r[10], "l": r[11],
         }
         for r in rows
@@ -86,16 +86,16 @@ def test_result_does_not_depend_on_order_or_partitions(spark):
     assert key(first) == key(second)
 
 
-def test_hot_lane_is_salted_and_whole(spark):
-    """One lane holds everything and one weight dominates; salts cut the ranking."""
+def test_hot_lane_is_whole(spark):
+    """One lane holds everything and one weight dominates; ranks come from counts."""
     rows = [
         (f"H{i:05d}", "a", 19.30, 73.06, 18.52, 73.86, 700.0 if i % 3 else 650.0 + i % 50, 60, 50, 40, 30000 + i % 7, 60000 + i % 11, "other", None, None)
         for i in range(3000)
     ]
-    run = run_plan(spark, spark.createDataFrame(rows, SCHEMA), rows_per_salt=100)
+    run = run_plan(spark, spark.createDataFrame(rows, SCHEMA))
     got = run.grouping.units.select("n", F.expr("aggregate(items.weight_u, 0L, (a, x) -> a + x)").alias("u")).collect()
     assert sum(r["n"] for r in got) == 3000
-    want = model.first_fit(sorted([{"u": round(r[6] * 10)} for r in rows], key=lambda s: -s["u"]), lambda s: s["u"], model.CAP)
+    want = model.first_fit(sorted([{"u": round(r[6] * 1000)} for r in rows], key=lambda s: -s["u"]), lambda s: s["u"], model.CAP)
     assert sorted(r["u"] for r in got) == sorted(sum(s["u"] for s in b) for b in want)
 
 
@@ -133,12 +133,8 @@ def test_same_lane_disjoint_windows_keep_both(spark):
 
 def test_convoys_are_whole_and_within_payload(spark):
     rows = make_rows(400, 21, 1, 1, 21_000, ("a",)) + [("X", "a", 19.3, 73.0, 18.5, 73.8, 23_000.0, 60, 50, 40, 0, 9, "other", None, None)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("weight_u", (F.col("weight_kg") * 10).cast("long"))
-    old, loading.SECTION = loading.SECTION, 90
-    try:
-        out = loading.convoys(df, ["period"]).collect()
-    finally:
-        loading.SECTION = old
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("weight_u", (F.col("weight_kg") * 1000).cast("long"))
+    out = loading.convoys(df, ["period"], size=90).collect()
     ids = [x["shipment_id"] for r in out for x in r["items"]]
     assert sorted(ids) == sorted(r[0] for r in rows if r[6] <= 22_000)
     assert all(r["weight_kg"] <= 22_000 for r in out) and len({r["section"] for r in out}) > 1
@@ -162,7 +158,7 @@ def test_single_box_expression_equals_helper(spark):
         F.array(
             F.struct(
                 F.col("id").alias("shipment_id"), F.col("l").alias("length_cm"), F.col("w").alias("width_cm"), F.col("h").alias("height_cm"),
-                F.lit(100.0).alias("weight_kg"), F.lit(1000).cast("long").alias("weight_u"), F.col("g").alias("goods_type"),
+                F.lit(100.0).alias("weight_kg"), F.lit(100_000).cast("long").alias("weight_u"), F.col("g").alias("goods_type"),
             )
         ).alias("items"),
     )
@@ -190,3 +186,28 @@ def test_stage_tables_live_in_the_shared_folder(spark):
     assert shared_folder(alone) == shared_folder(alone)
     with pytest.raises(RuntimeError):
         shared_folder(_Session(spark, "yarn", None))
+
+
+def test_exactly_full_trucks_have_a_vehicle(spark):
+    """Loads of exactly the payload whose sum of doubles lies above it."""
+    loads = [(5949.9, 5779.6, 5497.9, 2412.7, 2359.9)]
+    rng = random.Random(12)
+    while len(loads) < 40:
+        cuts = sorted(rng.sample(range(1, 220_000), rng.randint(2, 5)))
+        loads.append([(b - a) / 10 for a, b in zip([0, *cuts], [*cuts, 220_000])])
+    rows = [
+        (f"F{g}-{i}", f"day{g}", 19.30, 73.06, 18.52, 73.86, kg, 60, 50, 40, 30000, 60000, "other", None, None)
+        for g, load in enumerate(loads) for i, kg in enumerate(load)
+    ]
+    run = run_plan(spark, spark.createDataFrame(rows, SCHEMA))
+    got = run.trucks.select("group_size", "weight_kg", "assigned_vehicle", "cost_estimate_inr").collect()
+    assert len(got) == len(loads) and all(r["weight_kg"] == 22_000.0 for r in got)
+    assert all(r["assigned_vehicle"] and r["cost_estimate_inr"] > 0 for r in got)
+    assert run.exceptions.count() == 0
+
+
+def test_the_route_helper_runs_once(spark):
+    rows = make_rows(60, 5, 2, 2, 3_000, ("a",))
+    run = run_plan(spark, spark.createDataFrame(rows, SCHEMA))
+    plan = route_groups(run.grouping.groups, (BALANCED,))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
