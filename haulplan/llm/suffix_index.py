@@ -183,7 +183,7 @@ def settle(found: DataFrame) -> DataFrame:
     differ near the ends of a match: their single entries stay open, and one
     entry of each other class, for the singles to be compared with.
     """
-    place = F.struct("row", "tag", "first")
+    place = F.xxhash64("row", "tag", "first")
     classes = found.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(place).alias("sample"))
     mixed = classes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
     mixed = classes.join(mixed.withColumn("mixed", F.lit(True)), "key", "left")
@@ -194,6 +194,12 @@ def settle(found: DataFrame) -> DataFrame:
     )
 
 
+def _joined(texts: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
+    """Joined by the bucket's column alone, so that the texts stay where they are; ``tag`` is checked beside it."""
+    more = per_text.withColumnsRenamed({"row": "_row", "tag": "_tag"})
+    return texts.join(more, (F.col("row") == F.col("_row")) & (F.col("tag") - F.col("_tag").cast("long") == 0), how).drop("_row", "_tag")
+
+
 def _per_text(told: DataFrame, which: str) -> DataFrame:
     return told.filter(which).groupBy("row", "tag").agg(F.collect_list(F.struct("first", "last")).alias(which))
 
@@ -220,7 +226,7 @@ def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATC
     )
     name = f"haulplan_texts_{uuid.uuid4().hex}"
     # one shuffle of the texts; every later pass joins them in place
-    rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("compression", "zstd").saveAsTable(name)
+    rows.repartition(buckets, "row").write.bucketBy(buckets, "row").sortBy("row").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     all_entries = entries(texts, WIDTHS[0], match).withColumn("batch", F.pmod(F.shiftright("row", 8), F.lit(batches)).cast("int"))
     all_entries = run.save(all_entries, "entries")
@@ -231,14 +237,16 @@ def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATC
     keys = seen[0]
     for more in seen[1:]:
         keys = keys.union(more)
-    told = run.save(settle(all_entries.join(keys.distinct(), "key", "left_semi").drop("batch")), "told0")
+    # saved before it is counted: a very common key may then be read by many tasks
+    found = run.save(all_entries.join(keys.distinct(), "key", "left_semi").drop("batch"), "found")
+    told = run.save(settle(found), "told0")
     again = told.filter("again")
     for i, width in enumerate(WIDTHS[1:], 1):
-        closer = entries(texts.join(_per_text(told, "open"), ["row", "tag"]), width, match)
+        closer = entries(_joined(texts, _per_text(told, "open"), "inner"), width, match)
         told = run.save(settle(run.save(closer, f"closer{i}")), f"told{i}")
         again = again.union(told.filter("again"))
     return map_batches(
-        texts.join(_per_text(again, "again"), ["row", "tag"], "left"), _cut(match),
+        _joined(texts, _per_text(again, "again"), "left"), _cut(match),
         f"shipment_id {key_type(shipments)}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary",
     )
 
