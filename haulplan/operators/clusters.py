@@ -22,15 +22,15 @@ MICRO = 1_000_000  # centroids are kept as whole micro-degree sums and a count
 SUMS = ("n", "plat", "plng", "dlat", "dlng")
 
 
-def lane_sums(shipments: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts and coordinate sums per key, combined on the map side."""
+def lane_sums(shipments: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Counts and coordinate sums per key, combined on the map side; ``more`` aggregates ride along."""
     def micro(c: str) -> Column:
         return F.sum(F.round(F.col(c) * MICRO).cast("long"))
 
     return shipments.groupBy(*keys).agg(
         F.count("*").alias("n"),
         micro("pickup_lat").alias("plat"), micro("pickup_lng").alias("plng"),
-        micro("delivery_lat").alias("dlat"), micro("delivery_lng").alias("dlng"),
+        micro("delivery_lat").alias("dlat"), micro("delivery_lng").alias("dlng"), *more,
     )
 
 

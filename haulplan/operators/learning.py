@@ -116,11 +116,11 @@ def reset_zones(state: DataFrame, zone: str | None = None) -> DataFrame:
 
 def zone_summary(state: DataFrame) -> DataFrame:
     seen = F.col("avg_load_factor") > K.MIN_ZONE_LF
-    return state.agg(
+    return state.withColumn("_seen", F.when(seen, F.col("avg_load_factor"))).agg(
         F.count("*").alias("zones_tracked"),
         F.coalesce(F.sum("run_count"), F.lit(0)).alias("total_observations"),
         F.count_if(F.size("adjustment_log") > 0).alias("zones_auto_adjusted"),
-        F.coalesce(rnd(F.avg(F.when(seen, F.col("avg_load_factor"))), 3), F.lit(0.0)).alias("global_avg_load_factor"),
+        F.coalesce(rnd(exact_mean("_seen", 10_000), 3), F.lit(0.0)).alias("global_avg_load_factor"),
     ).withColumn("learning_active", F.col("zones_auto_adjusted") > 0)
 
 

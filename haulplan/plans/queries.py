@@ -44,6 +44,11 @@ def ends() -> list[Column]:
     return [F.col(c) for c in ENDS]
 
 
+def one_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The shipments as a stage table, for queries that pass over them more than once."""
+    return Stages(spark).save(shipments_view(spark, sf), "view")
+
+
 def balanced_run(spark: SparkSession, sf: str) -> Run:
     """The default run, planned once per session; its stages are tables."""
     return keep(spark, f"balanced {sf}", lambda: run_plan(spark, planning_rows(shipments_view(spark, sf)), (BALANCED,)))
@@ -215,7 +220,7 @@ def travel_compat_pairs(spark, sf):
 
 def lane_singles(spark, sf) -> DataFrame:
     """Shipments that the window grouping leaves alone on their lane and week."""
-    view = Stages(spark).save(shipments_view(spark, sf), "view").withColumns(
+    view = one_scan(spark, sf).withColumns(
         {"earliest_s": F.col("earliest_min").cast("long") * 60, "latest_s": F.col("latest_min").cast("long") * 60}
     )
     spans = view.groupBy(*LANE, "earliest_s", "latest_s").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("u"))
@@ -256,7 +261,7 @@ def place_pairs_within_radius(spark, sf):
 
 
 def lane_overlap_partners(spark, sf):
-    rows = planning_rows(shipments_view(spark, sf))
+    rows = planning_rows(one_scan(spark, sf))
     return proximity.overlap_partners(rows, ["period", "pickup_hub", "delivery_hub"]).select(
         "shipment_id", "lane_mates", "overlapping", (F.col("lane_mates") - F.col("overlapping")).alias("apart")
     )
@@ -339,14 +344,11 @@ def lane_centroids(spark, sf):
 
 def lane_route_stats(spark, sf):
     """Bearing spread, worst detour against the heaviest and distances per week and lane."""
-    view = shipments_view(spark, sf)
-    s = lane_sums(view, LANE)
+    view = one_scan(spark, sf)
     c = [F.col(k) / F.col("n") / 1e6 for k in ("plat", "plng", "dlat", "dlng")]
     order = F.struct(-F.col("weight_kg"), F.col("shipment_id"))
     named = F.struct(F.col("shipment_id").alias("id"), *[F.col(x).alias(y) for x, y in zip(ENDS, ("plat", "plng", "dlat", "dlng"))])
-    facts = s.withColumn("corridor", bearing_deg(*c)).select(*LANE, "corridor").join(
-        view.groupBy(*LANE).agg(F.min_by(named, order).alias("a")), LANE
-    )
+    facts = lane_sums(view, LANE, F.min_by(named, order).alias("a")).select(*LANE, bearing_deg(*c).alias("corridor"), "a")
     a = {k: F.col(f"a.{k}") for k in ("plat", "plng", "dlat", "dlng")}
     b = dict(zip(("plat", "plng", "dlat", "dlng"), ends()))
     ratio = F.when(F.col("shipment_id") != F.col("a.id"), detour_multiplier(a, b)[0])
@@ -422,7 +424,7 @@ def window_groups(spark, sf):
     keys = ["period", "pickup_hub", "delivery_hub"]
     rows = planning_rows(shipments_view(spark, sf)).withColumn("u", weight_units(F.col("weight_kg")))
     spans = rows.groupBy(*keys, "earliest_s", "latest_s").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
-    spans = spans.withColumn("min_overlap_s", F.lit(1800).cast("long"))
+    spans = Stages(spark).save(spans, "spans").withColumn("min_overlap_s", F.lit(1800).cast("long"))
     borders = windows.window_groups(spans, keys)
     return spans.join(borders.select(*keys, "earliest_s", "window_no"), [*keys, "earliest_s"]).groupBy(*keys, "window_no").agg(
         F.min("earliest_s").alias("first_start_s"), F.sum("n").alias("shipments"), (F.sum("u") / float(K.WEIGHT_UNITS_PER_KG)).alias("weight_kg"),
