@@ -62,6 +62,19 @@ def consolidation_summary(trucks: DataFrame, keys=RUN) -> DataFrame:
     )
 
 
+LISTINGS = {
+    "groups": (("cluster_n", False), ("cluster_weight_kg", False), ("group_id", True)),
+    "routes": (("group_size", False), ("weight_kg", False), ("route_id", True)),
+    "trucks": (("load_factor", False), ("truck_id", True)),
+    "manifest": (("assigned_vehicle_no", True), ("truck_id", True)),
+}
+
+
+def listing(df: DataFrame, kind: str) -> DataFrame:
+    """Rows in the order a reader sees them, ties by id: groups and routes by size, then weight, trucks by load factor, the manifest by vehicle."""
+    return df.orderBy(*[F.col(c).asc() if rising else F.col(c).desc() for c, rising in LISTINGS[kind]])
+
+
 def lane_efficiency(trucks: DataFrame, keys=RUN) -> DataFrame:
     agg = trucks.groupBy(*keys, F.col("group_lane").alias("lane")).agg(
         F.sum("group_size").cast("long").alias("shipments"),

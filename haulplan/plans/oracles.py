@@ -333,6 +333,7 @@ SELECT n AS singletons, m AS missed, {rnd('CAST(n - m AS DOUBLE) / n * 100e0')}
 SELECT s.shipment_id, CAST(coalesce(n, 0) AS INT) AS n_fits, coalesce(v, '') AS vehicles FROM ship s LEFT JOIN g ON g.shipment_id = s.shipment_id""",
     "best_vehicle": f"WITH {BEST} SELECT s.shipment_id, coalesce(name, 'OVERSIZE') AS vehicle FROM ship s LEFT JOIN best b ON s.shipment_id = b.shipment_id",
     "solo_manifest": manifest_sql(),
+    "truck_listing": f"WITH {SOLO} SELECT shipment_id AS truck_id, name AS assigned_vehicle, load_factor, kg AS group_weight_kg FROM solo ORDER BY load_factor DESC, truck_id",
     "oversize_exceptions": f"WITH {SHIP} SELECT shipment_id, period, weight_kg, true AS oversize, 'OVERSIZE' AS assigned_vehicle FROM ship WHERE weight_kg > 22000",
     "vehicle_numbers": f"""WITH {BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY period, name ORDER BY substr(md5(shipment_id), 1, 3), shipment_id) AS k FROM best)
 SELECT shipment_id AS truck_id, name AS assigned_vehicle, CASE WHEN k = 1 THEN vno ELSE name || '-OVF-' || CAST(k AS VARCHAR) END AS assigned_vehicle_no FROM r""",

@@ -537,9 +537,21 @@ def second_pass(spark, sf):
 
 
 def clustered_groups(spark, sf):
-    return balanced_run(spark, sf).grouping.groups.select(
+    groups = balanced_run(spark, sf).grouping.groups.select(
         "group_id", "period", "cluster_type", "cluster_lane", "cluster_n", "cluster_weight_kg"
     )
+    return metrics.listing(groups, "groups")
+
+
+def route_listing(spark, sf):
+    kg = F.expr("aggregate(items.weight_u, 0L, (a, x) -> a + x)") / float(K.WEIGHT_UNITS_PER_KG)
+    routes = balanced_run(spark, sf).routes.select("route_id", "group_lane", "consolidation_type", "group_size", kg.alias("weight_kg"))
+    return metrics.listing(routes, "routes")
+
+
+def truck_listing(spark, sf):
+    trucks = solo_trucks(spark, sf)[0].select("truck_id", "assigned_vehicle", "load_factor", "group_weight_kg")
+    return metrics.listing(trucks, "trucks")
 
 
 def travel_split(spark, sf):
@@ -580,7 +592,7 @@ def convoy(spark, sf):
 
 
 def dispatch_manifest(spark, sf):
-    return vehicles.manifest(vehicles.vehicle_numbers(balanced_run(spark, sf).trucks))
+    return metrics.listing(vehicles.manifest(vehicles.vehicle_numbers(balanced_run(spark, sf).trucks)), "manifest")
 
 
 def run_savings(spark, sf):
@@ -692,6 +704,8 @@ QUERIES = {
     "origin_clusters": origin_cluster_query,
     "destination_clusters": destination_cluster_query,
     "clustered_groups": clustered_groups,
+    "route_listing": route_listing,
+    "truck_listing": truck_listing,
     "corridor_groups": corridor_groups,
     "split_overweight": split_overweight,
     "second_pass": second_pass,

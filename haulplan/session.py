@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has machines of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     if sc.applicationId not in _local_folders:
         _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="haulplan-")
@@ -73,3 +74,9 @@ class Stages:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete the run's stage tables, once nothing reads them any more."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(conf).delete(path, True)

@@ -184,6 +184,13 @@ def test_stage_tables_live_in_the_shared_folder(spark):
     assert shared_folder(_Session(spark, "yarn", "hdfs:///shared")) == "hdfs:///shared"
     alone = _Session(spark, "local[2]", None)
     assert shared_folder(alone) == shared_folder(alone)
+    with pytest.raises(RuntimeError):
+        shared_folder(_Session(spark, "local-cluster[2,1,1024]", None))
+    stages = Stages(spark)
+    assert stages.save(spark.range(3), "x").count() == 3
+    stages.remove()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{stages.root}/x")
     with pytest.raises(RuntimeError):
         shared_folder(_Session(spark, "yarn", None))
 
