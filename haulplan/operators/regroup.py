@@ -54,7 +54,7 @@ def same_lane_regroup(singles: DataFrame, scenarios) -> DataFrame:
         .filter(F.size("e") > 1)
         .withColumn("b", _next_fit_udf("e.u", "e.start", "e.end", scenario_value("min_overlap_s", scenarios)))
     )
-    z = F.explode(F.arrays_zip(F.col("e.unit_id").alias("unit_id"), F.col("b").alias("b")))
+    z = F.explode_outer(F.arrays_zip(F.col("e.unit_id").alias("unit_id"), F.col("b").alias("b")))
     flat = lists.select(*lane, z.alias("z")).select(*lane, "z.*")
     bins = flat.groupBy(*lane, "b").agg(F.collect_list("unit_id").alias("ids")).filter(F.size("ids") > 1)
     return bins.select(
