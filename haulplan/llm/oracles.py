@@ -17,4 +17,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1}
+_WORD = r"[^\x20\x09-\x0D]+"
+OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM spots),
+inside AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS x FROM windows WHERE n > 1) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS again
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(list_aggregate(ws, 'string_agg', '')) AS chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals,
+  coalesce(lines.n, 0) AS n_lines, coalesce(lines.again, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN inside ON inside.doc_id = w.doc_id),
+r AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(100 * n_symbols > 50 * n_words AS INT)
+  + 8 * CAST(100 * n_dup_lines > 50 * n_lines AS INT) + 16 * CAST(100 * capitals > 60 * coalesce(chars, 0) AS INT) + 32 * CAST(coalesce(chars, 0) > 25 * n_words AS INT) AS bits FROM m)
+SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept,
+  CAST(bits AS BIGINT) AS failed_rules FROM r
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op3_quality": OP3}
