@@ -144,8 +144,8 @@ def drop_shared_lines(
     index = index_shards(shared, shards)
     # a table of at most MOST_SHARDS rows: lines met by each shard against the mean
     load = counted.groupBy(shard_of(shards).alias("shard")).agg(F.sum("n").alias("met"))
-    mean = counted.agg((F.sum("n") / shards).alias("mean"))
-    salts = load.crossJoin(F.broadcast(mean)).select("shard", F.ceil(F.col("met") / F.col("mean")).cast("int").alias("salts"))
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) / shards
+    salts = load.select("shard", F.ceil(F.col("met") / F.lit(max(mean, 1.0))).cast("int").alias("salts"))
     salts = F.broadcast(run.save(salts, "salts"))
     probes = (
         lines.withColumn("shard", shard_of(shards))

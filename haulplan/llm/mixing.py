@@ -55,8 +55,8 @@ def rake(cells: DataFrame, targets: DataFrame, dimensions: Sequence[str] = DIMEN
     cells = cells.withColumn("weight", F.when(possible & (F.col("n_tokens") > 0), F.col("n_tokens").cast("double")).otherwise(0.0))
     cells = run.save(cells, "cells")
     for d in dimensions:  # shares over the values that can be met
-        met = cells.filter("weight > 0").select(d, f"_{d}").distinct().agg(F.sum(f"_{d}").alias("met"))
-        cells = cells.crossJoin(F.broadcast(met)).withColumn(f"_{d}", F.col(f"_{d}") / F.col("met")).drop("met")
+        met = cells.filter("weight > 0").select(d, f"_{d}").distinct().agg(F.sum(f"_{d}")).first()[0]
+        cells = cells.withColumn(f"_{d}", F.col(f"_{d}") / F.lit(met or 1.0))
     done = 0
     while done < most_rounds:
         for _ in range(ROUNDS):

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Stages
 from .common import as_bytes, key_type, map_batches, mix64, rows_of, shuffle_width, stages
 
 MATCH = 400
@@ -133,7 +134,7 @@ def entries(rows: DataFrame, width: int, match: int) -> DataFrame:
 class SuffixLevels:
     """The index family: level i holds the beginnings of 2^i batches."""
 
-    def __init__(self, spark: SparkSession, run):
+    def __init__(self, spark: SparkSession, run: Stages):
         self.spark, self.run, self.name = spark, run, f"haulplan_levels_{uuid.uuid4().hex}"
         self.buckets = shuffle_width(spark)
         self.levels: dict[int, str] = {}
@@ -176,7 +177,7 @@ class SuffixLevels:
         self.levels = {}
 
 
-def settle(found: DataFrame) -> DataFrame:
+def settle(found: DataFrame, run: Stages, name: str) -> DataFrame:
     """``found`` entries with ``again`` (its strings occur again) and ``open`` (its strings need a closer look).
 
     Entries alike in ``key`` and ``whole`` are one class. Classes of one key
@@ -186,6 +187,7 @@ def settle(found: DataFrame) -> DataFrame:
     place = F.xxhash64("row", "tag", "first")
     classes = found.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(place).alias("sample"))
     mixed = classes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
+    mixed = run.save(mixed, name)
     mixed = classes.join(mixed.withColumn("mixed", F.lit(True)), "key", "left")
     told = mixed.filter("n > 1 OR mixed").select("key", "whole", "n", "sample", F.coalesce("mixed", F.lit(False)).alias("mixed"))
     return found.join(told, ["key", "whole"]).select(
@@ -237,13 +239,14 @@ def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATC
     keys = seen[0]
     for more in seen[1:]:
         keys = keys.union(more)
-    # saved before it is counted: a very common key may then be read by many tasks
-    found = run.save(all_entries.join(keys.distinct(), "key", "left_semi").drop("batch"), "found")
-    told = run.save(settle(found), "told0")
+    # tables between the steps leave each join alone with its exchanges, so a very common key can be read by many tasks
+    keys = run.save(keys.distinct(), "keys")
+    found = run.save(all_entries.join(keys, "key", "left_semi").drop("batch"), "found")
+    told = run.save(settle(found, run, "mixed0"), "told0")
     again = told.filter("again")
     for i, width in enumerate(WIDTHS[1:], 1):
         closer = entries(_joined(texts, _per_text(told, "open"), "inner"), width, match)
-        told = run.save(settle(run.save(closer, f"closer{i}")), f"told{i}")
+        told = run.save(settle(run.save(closer, f"closer{i}"), run, f"mixed{i}"), f"told{i}")
         again = again.union(told.filter("again"))
     return map_batches(
         _joined(texts, _per_text(again, "again"), "left"), _cut(match),
