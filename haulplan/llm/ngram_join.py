@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stages
 from .common import as_bytes, key_type, map_batches, mix64, rows_of, shuffle_width, stages
 from .components import components
 from .suffix_index import RangeHashes
@@ -31,8 +32,10 @@ BRANCHES = 2.0
 DEPTH = 3
 #: Most members of a bucket that is compared by brute force.
 BUCKET = 100
+#: Sketch likeness to a large bucket's head: from FAR on a candidate, from NEAR on settled.
+FAR, NEAR = 0.3, 0.7
 #: Sets of one block of the exact comparison.
-BLOCK = 1024
+BLOCK = 512
 _SLOTS = 64
 _EMPTY = 0xFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -211,32 +214,56 @@ def _links_of(table: pa.Table, threshold: float):
         })
 
 
-def candidate_links(vertices: DataFrame, run, threshold: float, depth: int, bucket: int) -> DataFrame:
+def head_likeness(crowd: DataFrame) -> DataFrame:
+    """(key, vertex, head, likeness): each member of a large bucket against the bucket's head, by sketches."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        a, b = (np.frombuffer(b"".join(rows_of(batch, c).to_pylist()), np.uint16).reshape(-1, _SLOTS) for c in ("sketch", "head_sketch"))
+        used = ((a != _EMPTY) | (b != _EMPTY)).sum(1)
+        return {c: rows_of(batch, c) for c in ("key", "vertex", "head")} | {"likeness": ((a == b) & (a != _EMPTY)).sum(1) / used}
+
+    return map_batches(crowd.select("key", "vertex", "sketch", "head", "head_sketch"), run, "key long, vertex binary, head binary, likeness double")
+
+
+def candidate_links(vertices: DataFrame, run: Stages, threshold: float, depth: int, bucket: int) -> DataFrame:
     """Links (a, b) between vertices that share a bucket and are not ruled out.
 
-    A bucket of more than ``bucket`` members is split by the next step. What is
-    still too large after the last step shares a path of ``depth`` n-grams and
-    is linked whole; its members are told apart by the exact comparison.
+    A bucket of more than ``bucket`` members is split by the next step. From the
+    second step on its members are first compared with one of them, the head:
+    those that may be near it (``FAR``) are linked to it, and those surely near
+    it (``NEAR``) need no further split, as whatever is similar to them may be
+    near the head too and is linked to it. So a large group of near copies is
+    gathered at once. What is still too large after the last step shares a path of ``depth``
+    n-grams and is linked whole; the exact comparison tells its members apart.
     """
-    found = None
-    large = None
+    found = left = along = None
+    sketches = vertices.select("vertex", "size", "sketch")
     for step in range(depth):
         rows = vertices.select("vertex", F.explode(f"step{step}").alias("p"), *([f"step{step - 1}"] if step else []))
         if step:
             before = F.element_at(f"step{step - 1}", F.col("p.up") + 1).getField("key")
-            rows = rows.withColumn("before", before).join(large.withColumnRenamed("key", "before"), "before", "left_semi")
+            rows = rows.withColumn("before", before).join(left.withColumnRenamed("key", "before"), along, "left_semi")
         rows = run.save(rows.select("vertex", F.col("p.key").alias("key")), f"step{step}")
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         counts = run.save(counts, f"counts{step}")
         small = rows.join(counts.filter(F.col("n") <= bucket).select("key"), "key")
-        links = bucket_links(small.join(vertices.select("vertex", "size", "sketch"), "vertex"), threshold)
+        links = bucket_links(small.join(sketches, "vertex"), threshold)
         found = links if found is None else found.union(links)
         large = counts.filter(F.col("n") > bucket).select("key")
         if not large.limit(1).count():
             return found
-    whole = rows.join(large, "key")
-    heads = whole.groupBy("key").agg(F.min("vertex").alias("b"))
-    return found.union(whole.join(heads, "key").select(F.col("vertex").alias("a"), "b"))
+        if not step and depth > 1:
+            # shared passages make most of the first large buckets; one more step tells their texts apart
+            left, along = large, ["before"]
+            continue
+        crowd = run.save(rows.join(large, "key").join(sketches.select("vertex", "sketch"), "vertex"), f"crowd{step}")
+        heads = crowd.groupBy("key").agg(F.min(F.struct("vertex", "sketch")).alias("h"))
+        heads = run.save(heads.select("key", F.col("h.vertex").alias("head"), F.col("h.sketch").alias("head_sketch")), f"top{step}")
+        told = run.save(head_likeness(crowd.join(heads, "key")), f"heads{step}")
+        found = found.union(told.filter(F.col("likeness") >= FAR).select(F.col("vertex").alias("a"), F.col("head").alias("b")))
+        left, along = told.filter(F.col("likeness") < NEAR).select("vertex", "key"), ["vertex", "before"]
+    firsts = run.save(left.groupBy("key").agg(F.min("vertex").alias("b")), "firsts")
+    return found.union(left.join(firsts, "key").select(F.col("vertex").alias("a"), "b"))
 
 
 def verified(members: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -325,7 +352,7 @@ def join_similar(
     vertices = run.save(vertices.agg(F.count("*").alias("copies"), F.min("shipment_id").alias("least_id"), *firsts), "vertices")
     links = run.save(candidate_links(vertices, run, threshold, DEPTH, bucket), "links")
     groups = components(links, run, "groups").select(F.col("node").alias("vertex"), F.col("label").alias("grp"))
-    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = run.save(groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
     members = groups.join(blocks, "grp").join(vertices.select("vertex", "copies"), "vertex")
     members = members.withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
     # one row with the text for each vertex: that of its least id
@@ -338,7 +365,7 @@ def join_similar(
     classes = classes.select(F.col("node").alias("vertex"), F.col("label").alias("class"))
     told = vertices.select("vertex", "copies", "least_id").join(degrees, "vertex", "left").join(classes, "vertex", "left")
     told = run.save(told.withColumn("class", F.coalesce("class", "vertex")), "told")
-    names = told.groupBy("class").agg(F.min("least_id").alias("class_id"))
+    names = run.save(told.groupBy("class").agg(F.min("least_id").alias("class_id")), "names")
     told = told.join(names, "class").select("vertex", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.select("shipment_id", "vertex").join(told, "vertex", "left").select(
         "shipment_id", F.coalesce("class_id", "shipment_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
