@@ -15,6 +15,8 @@ from haulplan.llm.queries import doc_id, labels, shipments, with_tokens
 
 #: The tempering of the mix: nearer to one keeps more of the corpus.
 MIX_POWER = 0.9
+#: The share of the tokens that the mix keeps at least: a rare source does not thin the corpus.
+MIX_LEAST = 0.75
 
 #: SQL states neither the learnt scores, the token ids nor the packing.
 ORACLE_SQL = None
@@ -55,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and sizes meet tempered shares."""
-    mixed = mixing.mix_shipments(with_tokens(_rows(docs)), power=MIX_POWER)
+    mixed = mixing.mix_shipments(with_tokens(_rows(docs)), power=MIX_POWER, least_keep=MIX_LEAST)
     chosen = mixed.filter("selected").select(F.col("shipment_id").alias("_id"))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.select("doc_id", "text", "lang", "source", "n_chars")

@@ -77,12 +77,14 @@ def marginal_error(cells: DataFrame, dimensions: Sequence[str]) -> float:
     return float(held.agg(F.max(F.abs(F.col("w") - F.col("s")))).first()[0] or 0.0)
 
 
-def calibrated(cells: DataFrame, keep: float | None) -> DataFrame:
+def calibrated(cells: DataFrame, keep: float | None, least_keep: float = 0.0) -> DataFrame:
     """``cells`` with ``probability``: weight per token, scaled.
 
     Without ``keep`` the largest probability is one, so the expected mix meets
-    the targets exactly. With it, ``keep`` of all tokens are expected and
-    probabilities end at one, which bends the mix where they do; the scale is
+    the targets exactly, unless that keeps less than ``least_keep`` of the
+    tokens. With it, or then, that share of all tokens is expected and
+    probabilities end at one, which bends the mix where they do: cells that
+    run out stay whole, all others keep their proportions. The scale is
     found by aggregations over a ladder of scales.
     """
     lift = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0)
@@ -90,6 +92,8 @@ def calibrated(cells: DataFrame, keep: float | None) -> DataFrame:
     if not total or not top:
         return cells.withColumn("probability", F.lit(0.0))
     low, high = 0.0, 1.0 / top
+    if keep is None and _expected(cells, lift, [high])[0] < least_keep * total:
+        keep = least_keep
     if keep is None:
         return cells.withColumn("probability", F.least(F.lit(1.0), lift * high))
     while high < 1e18 / top and _expected(cells, lift, [high])[0] < keep * total:
@@ -109,14 +113,15 @@ def _expected(cells: DataFrame, lift: Column, scales: list[float]) -> list[float
 
 def mix_shipments(
     shipments: DataFrame, targets: DataFrame | None = None, dimensions: Sequence[str] = DIMENSIONS,
-    keep: float | None = None, power: float = 0.7, seed: int = 1,
+    keep: float | None = None, power: float = 0.7, seed: int = 1, least_keep: float = 0.0,
 ) -> DataFrame:
     """Rake token weights to target marginals and sample rows by calibrated probability.
 
     ``shipments`` have ``n_tokens`` and the dimensions; ``targets`` (dimension,
     value, share) default to ``tempered_targets`` with ``power``. ``keep`` is the expected
-    share of the tokens that stay; without it, as many as the targets allow
-    (see ``calibrated``). The draw is a hash of id and ``seed``, so it
+    share of the tokens that stay; without it, as many as the targets allow,
+    but no less than ``least_keep``: a value with next to no tokens must not
+    thin all others (see ``calibrated``). The draw is a hash of id and ``seed``, so it
     is the same on every run, and rows that share an id draw alike.
 
     Returns one row per input row: ``shipment_id``, the dimensions (null as
@@ -130,7 +135,7 @@ def mix_shipments(
     )
     targets = tempered_targets(rows, dimensions, power) if targets is None else targets
     cells = rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("n_tokens"))
-    cells = calibrated(rake(cells, targets, dimensions), keep).select(*dimensions, "weight", "probability")
+    cells = calibrated(rake(cells, targets, dimensions), keep, least_keep).select(*dimensions, "weight", "probability")
     draw = F.pmod(F.xxhash64("shipment_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return rows.join(cells, list(dimensions), "left").select(
         "shipment_id", *dimensions, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("selected")

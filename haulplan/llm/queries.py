@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from . import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
 
 
+#: The mix keeps this share of the tokens at least, whatever the rarest value holds.
+MIX_LEAST = 0.5
+
+
 def shipments(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("shipment_id"), F.col("text").alias("delivery_hub"),
@@ -90,7 +94,7 @@ def op6_suffix_dedup(spark, sf):
 
 
 def op7_mixing(spark, sf):
-    mixed = mixing.mix_shipments(with_tokens(documents(spark, sf)))
+    mixed = mixing.mix_shipments(with_tokens(documents(spark, sf)), least_keep=MIX_LEAST)
     return mixed.select(
         doc_id(), F.col("pickup_hub").alias("source"), F.col("goods_type").alias("lang"), F.col("wave").alias("topic"),
         "n_tokens", "weight", "probability", "selected",

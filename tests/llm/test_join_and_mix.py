@@ -108,6 +108,23 @@ def test_mix_edges(make, spark):
     assert twice.filter("n <> 1 OR rows <> 2").count() == 0
 
 
+def test_one_rare_source_does_not_thin_the_mix(spark, tmp_path):
+    import corpus_pipeline
+    from haulplan.llm import queries
+
+    rows = [(i, "word " * (100 + i % 7 * 50), "en", f"s{i % 4}", 1) for i in range(400)] + [(900, "one two", "en", "rare", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_mixing(spark, str(tmp_path)).toPandas()
+    assert (got.n_tokens * got.probability).sum() >= 0.5 * got.n_tokens.sum()
+    assert got[got.source == "rare"].probability.item() == pytest.approx(1)
+    common = got[(got.source != "rare") & (got.probability < 1)]
+    per_token = common.probability * common.n_tokens.groupby([common.source, common.topic]).transform("sum") / common.weight
+    assert per_token.max() == pytest.approx(per_token.min())
+    kept = {r.doc_id for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()}
+    assert 900 in kept and len(kept) > 0.65 * len(rows)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
