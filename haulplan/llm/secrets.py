@@ -3,7 +3,8 @@
 The pattern kinds are ``assign``, ``access`` and ``hex``. The method adds
 ``novel``: a long mixed string that follows a sensitive word, and whose marginal
 cost in zstandard bytes stays near its length although the compressor knows the
-surrounding text and a dictionary of identifiers. Strings built from known
+surrounding text, other copies of the string apart, and a dictionary of
+identifiers. Strings built from known
 names compress away and are not reported.
 """
 
@@ -74,6 +75,22 @@ def marginal_bytes(candidate: str, before: str, after: str, level: int = 19) ->
     return len(packer.compress(lead + candidate.encode())) - len(packer.compress(lead))
 
 
+def surroundings(text: str, start: int, end: int, context: int) -> tuple[str, str]:
+    """``context`` characters on either side of a candidate, without other copies of it, whole or cut by the border.
+
+    A copy is told by the candidate's core: its longest part between equals signs, without marks at the ends.
+    """
+    core = max(text[start:end].split("="), key=len).strip("+/_.-")
+    if len(core) < 16:
+        core = text[start:end]
+    low, high = max(0, start - context), min(len(text), end + context)
+    left, right = min(low, len(core) - 1), min(len(text) - high, len(core) - 1)
+    before, after = text[low - left : start].split(core), text[end : high + right].split(core)
+    before[0] = before[0][left:]
+    after[-1] = after[-1][: max(0, len(after[-1]) - right)]
+    return "".join(before), "".join(after)
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: float, context: int) -> list[tuple[int, str, int]]:
     """Candidates near a sensitive word that no pattern has found and that do not compress."""
     spans, done = [], 0
@@ -88,7 +105,7 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: float, co
             mixed = re.search("[0-9]", value) and re.search("[A-Za-z]", value)
             if not mixed or any(s < end and start < e for s, _, e in taken):
                 continue
-            cost = marginal_bytes(value, text[max(0, start - context) : start], text[end : end + context])
+            cost = marginal_bytes(value, *surroundings(text, start, end, context))
             if cost >= novelty * len(value):
                 spans.append((start, "novel", end))
     return spans

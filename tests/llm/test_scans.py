@@ -44,6 +44,18 @@ def test_novel_strings_are_told_from_known_names(make):
     assert got[6] == [[("assign", f"token = '{SECRET}")]] * 2
 
 
+def test_a_repeated_secret_is_reported_at_every_place(make):
+    rng, signs = np.random.default_rng(8), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    rows = [(i, f"dev key: {k}\nand some more text of the file\nprod key: {k}\nKEY={k}.") for i, k in enumerate("".join(rng.choice(signs, 40)) for _ in range(20))]
+    for r in secrets.find_secrets(make(rows)).collect():
+        assert [s.kind for s in r.spans] == ["novel"] * 3
+    key = "".join(rng.choice(signs, 40))
+    for gap in (10, 2047, 2030, 2010):  # copies inside the context and cut by its border
+        text = f"{key}{'-' * gap}{key}{'-' * gap}{key}"
+        before, after = secrets.surroundings(text, 40 + gap, 80 + gap, 2048)
+        assert before == after == "-" * gap
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = list(zip(words, words[1:], words[2:]))
