@@ -1,8 +1,8 @@
 """Secrets in free text: plain patterns, and strings that a primed compressor cannot predict.
 
 The pattern kinds are ``assign``, ``access`` and ``hex``. The method adds
-``novel``: a long mixed string that follows a sensitive word, and whose marginal
-cost in zstandard bytes stays near its length although the compressor knows the
+``novel``: a long mixed string beside a sensitive word, whose marginal
+cost in zstandard bytes stays near its cost alone although the compressor knows the
 surrounding text, other copies of the string apart, and a dictionary of
 identifiers. Strings built from known
 names compress away and are not reported.
@@ -10,6 +10,7 @@ names compress away and are not reported.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -34,16 +35,27 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: Words that make a context sensitive, and how far behind them a candidate may start.
+#: Words that make a context sensitive (alone, in camel case, in the plural), and how far before or behind them a candidate may stand.
 SENSITIVE = re.compile(
-    "(?<![A-Za-z])(?:" + "|".join(
+    "(?:(?<![A-Za-z])|(?<=[A-Za-z])(?=[A-Z][a-z]))(?:" + "|".join(
         map(_either_case, ("password", "passwd", "pwd", "secret", "token", "api_?key", "access_?key", "private_?key",
-                           "key", "credential", "credentials", "auth", "authorization", "bearer", "signature"))
-    ) + ")(?![a-z])"
+                           "key", "credential", "auth", "authorization", "bearer", "signature"))
+    ) + ")[sS]?(?![a-z])"
 )
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters and digits that random strings are drawn from, smallest first, and their number.
+ALPHABETS = [
+    (frozenset(x), len(x))
+    for x in (
+        _DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _LOWER + "234567", _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER,
+    )
+]
+_NO_MARKS = str.maketrans("", "", "+/_.=-")
+_SIGNS = frozenset(_DIGITS + _LOWER + _UPPER + "+/_.=-")
+
 #: What code calls things: part of the compressor's dictionary.
 IDENTIFIERS = (
     "access_token refresh_token client_secret client_id api_key secret_key private_key public_key password_hash "
@@ -75,6 +87,15 @@ def marginal_bytes(candidate: str, before: str, after: str, level: int = 19) ->
     return len(packer.compress(lead + candidate.encode())) - len(packer.compress(lead))
 
 
+def least_bytes(candidate: str, level: int = 19) -> float:
+    """Bytes that ``candidate`` would take at random: compressed without a primer, or by the size of its alphabet if that is more."""
+    marks = set(re.sub("[A-Za-z0-9]", "", candidate))
+    signs = next(n for signs, n in ALPHABETS if signs.issuperset(candidate.translate(_NO_MARKS)))
+    packer = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
+    alone = len(packer.compress(candidate.encode())) - len(packer.compress(b""))
+    return max(alone, len(candidate) * math.log2(signs + len(marks)) / 8)
+
+
 def surroundings(text: str, start: int, end: int, context: int) -> tuple[str, str]:
     """``context`` characters on either side of a candidate, without other copies of it, whole or cut by the border.
 
@@ -91,23 +112,37 @@ def surroundings(text: str, start: int, end: int, context: int) -> tuple[str, st
     return "".join(before), "".join(after)
 
 
-def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: float, context: int) -> list[tuple[int, str, int]]:
-    """Candidates near a sensitive word that no pattern has found and that do not compress."""
-    spans, done = [], 0
+def candidates(text: str):
+    """(start, end) of the candidates beside sensitive words, none twice."""
+    done = 0
     for word in SENSITIVE.finditer(text):
+        low = max(done, word.start() - REACH)
+        while low > done and text[low - 1] in _SIGNS:
+            low -= 1
+        for found in CANDIDATE.finditer(text, low, word.start()):
+            if found.end() < word.start():  # else the word is a part of the same run
+                done = found.end()
+                yield found.span()
         for found in CANDIDATE.finditer(text, max(word.end(), done), word.end() + REACH + 4096):
             start, end = found.span()
             if start > word.end() + REACH:
                 break
             while end < len(text) and CANDIDATE.fullmatch(text, start, end + 1):
                 end += 1
-            done, value = end, text[start:end]
-            mixed = re.search("[0-9]", value) and re.search("[A-Za-z]", value)
-            if not mixed or any(s < end and start < e for s, _, e in taken):
-                continue
-            cost = marginal_bytes(value, *surroundings(text, start, end, context))
-            if cost >= novelty * len(value):
-                spans.append((start, "novel", end))
+            done = end
+            yield start, end
+
+
+def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: float, context: int) -> list[tuple[int, str, int]]:
+    """Candidates beside a sensitive word that no pattern has found and that do not compress."""
+    spans = []
+    for start, end in candidates(text):
+        value = text[start:end]
+        mixed = re.search("[0-9]", value) and re.search("[A-Za-z]", value)
+        if not mixed or any(s < end and start < e for s, _, e in taken):
+            continue
+        if marginal_bytes(value, *surroundings(text, start, end, context)) >= novelty * least_bytes(value):
+            spans.append((start, "novel", end))
     return spans
 
 
@@ -117,7 +152,7 @@ def find_secrets(shipments: DataFrame, novelty: float = 0.75, context: int = 204
     Returns one row per input row: ``shipment_id`` and ``spans``, an array of
     (kind, start, end, value) by start, then kind in the order of ``KINDS``;
     offsets are code points, ends exclusive. ``novelty`` is the least marginal
-    compressed size of a ``novel`` span as a share of its length, ``context``
+    compressed size of a ``novel`` span as a share of what it takes alone (see ``least_bytes``), ``context``
     how much text on either side primes the compressor. A null or empty text
     has no spans; repeated rows give equal rows. The project's records hold no
     secrets of their own; any free text will do.

@@ -56,6 +56,24 @@ def test_a_repeated_secret_is_reported_at_every_place(make):
         assert before == after == "-" * gap
 
 
+def test_random_strings_of_small_alphabets_are_reported(make):
+    rng = np.random.default_rng(9)
+    signs = {"0123456789ABCDEF": (32, 64, 96, 1000), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": (32, 256, 1000), "abcdefghijklmnopqrstuvwxyz0123456789": (32, 512, 3000)}
+    rows = [f"the key {''.join(rng.choice(list(a), n))} was sent" for a, lengths in signs.items() for n in lengths for _ in range(10)]
+    for r in secrets.find_secrets(make(list(enumerate(rows)))).collect():
+        assert r.spans and {s.kind for s in r.spans} <= {"novel", "hex"}  # sixteen digits in a row are hex
+    for text in ("the key " + "ab12" * 40 + " ", "the key xxxxxxxxxxxxxxxxxxxxxxxxxxxx1 ", "api_key access_token_client_secret_1 and more"):
+        assert not secrets.novel_spans(text, [], 0.75, 2048)
+
+
+def test_sensitive_words_in_camel_case_plural_and_behind():
+    texts = ['setClientSecret("%s")', 'withPassword("%s")', 'dbPassword("%s")', 'DBPassword("%s")', 'tokens: ["%s"]', 'API_KEYS ["%s"]', '"%s" is the password', "<%s> # my token"]
+    for text in texts:
+        assert secrets.novel_spans(text % SECRET, [], 0.75, 2048) == [(text.index("%"), "novel", text.index("%") + len(SECRET))]
+    for text in ("monkey (%s)", "tokenizer (%s)", "the author (%s)", f"%s{' .' * 30} token"):
+        assert not secrets.novel_spans(text % SECRET, [], 0.75, 2048)
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = list(zip(words, words[1:], words[2:]))
