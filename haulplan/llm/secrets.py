@@ -123,14 +123,10 @@ def candidates(text: str):
             if found.end() < word.start():  # else the word is a part of the same run
                 done = found.end()
                 yield found.span()
-        for found in CANDIDATE.finditer(text, max(word.end(), done), word.end() + REACH + 4096):
-            start, end = found.span()
-            if start > word.end() + REACH:
-                break
-            while end < len(text) and CANDIDATE.fullmatch(text, start, end + 1):
-                end += 1
-            done = end
-            yield start, end
+        last = word.end() + REACH
+        while found := CANDIDATE.search(text, max(word.end(), done), last + 16):  # sixteen characters tell a candidate
+            start, done = found.start(), CANDIDATE.match(text, found.start()).end()
+            yield start, done
 
 
 def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty: float, context: int) -> list[tuple[int, str, int]]:

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -74,6 +75,14 @@ def test_sensitive_words_in_camel_case_plural_and_behind():
         assert not secrets.novel_spans(text % SECRET, [], 0.75, 2048)
 
 
+def test_a_long_candidate_is_found_in_one_step():
+    blob = "".join(np.random.default_rng(10).choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 400_000))
+    began = time.process_time()
+    assert list(secrets.candidates(f"the signature {blob} was sent")) == [(14, 14 + len(blob))]
+    assert time.process_time() - began < 5
+    assert list(secrets.candidates(f"key {'-' * 3} {SECRET} {SECRET}{' ' * 48}{SECRET}")) == [(8, 32), (33, 57)]
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = list(zip(words, words[1:], words[2:]))
