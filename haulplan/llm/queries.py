@@ -34,9 +34,9 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_tokens(rows: DataFrame) -> DataFrame:
-    """Blank-separated words as tokens, and a size class: documents have no topic, so it stands as the wave."""
-    tokens = F.size(F.split(F.trim(F.coalesce("delivery_hub", F.lit(""))), " +")).cast("long")
-    rows = rows.withColumn("n_tokens", F.when(F.length(F.trim("delivery_hub")) > 0, tokens).otherwise(F.lit(0)))
+    """Words as tokens, and a size class: documents have no topic, so it stands as the wave."""
+    tokens = F.regexp_count(F.coalesce("delivery_hub", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = rows.withColumn("n_tokens", tokens.cast("long"))
     size = F.when(F.col("n_tokens") < 200, "short").when(F.col("n_tokens") < 1000, "medium").otherwise("long")
     return rows.withColumn("wave", size)
 

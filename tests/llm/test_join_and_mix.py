@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -108,6 +109,16 @@ def test_mix_edges(make, spark):
     assert twice.filter("n <> 1 OR rows <> 2").count() == 0
 
 
+def test_tokens_are_parted_by_any_blank(make, odd_rows):
+    from haulplan.llm import queries
+
+    rows = odd_rows + [(20, "a\nb\tc  d\r\ne\x0bf\x0cg"), (21, "item\n" * 250), (22, "\n\n\t"), (23, "a\xa0b\u2003c d")]
+    got = queries.with_tokens(make(rows)).collect()
+    want = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows]
+    assert [(r.shipment_id, r.n_tokens) for r in got] == want
+    assert [r.wave for r in got[-4:]] == ["short", "medium", "short", "short"]
+
+
 def test_one_rare_source_does_not_thin_the_mix(spark, tmp_path):
     import corpus_pipeline
     from haulplan.llm import queries
