@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,9 +281,6 @@ def axle_balance(loaded: DataFrame) -> DataFrame:
     )
 
 
-CONVOY_SHIPMENTS = 500  # the next shipments of a demand leave as the next section
-
-
 def convoy_trucks(l, w, h, kg, upright, on_top, strict=True, rotate=True) -> list[int]:
     """Truck number per box, largest box first, on as many of the largest type as needed.
 
@@ -291,21 +289,23 @@ def convoy_trucks(l, w, h, kg, upright, on_top, strict=True, rotate=True) -> lis
     """
     hold = (LARGEST.l, LARGEST.w, LARGEST.h, LARGEST.max_kg)
     trucks: list[Hold] = []
+    held_kg, held_cm3 = np.zeros(64), np.zeros(64)  # of every truck, so that a box is scored by one numpy call
     out = []
     for box in zip(l, w, h, kg, upright, on_top):
-        best, best_gap = None, float("inf")
-        for i, t in enumerate(trucks):
-            if t.kg + box[3] > t.max_kg:
-                continue
-            gap = K.FIT_SCORE_SHARE * abs((t.kg + box[3]) / t.max_kg - K.LF_TARGET) + K.FIT_SCORE_SHARE * abs(
-                (t.volume + box[0] * box[1] * box[2]) / t.capacity - K.LF_TARGET
-            )
-            if gap < best_gap:
-                best, best_gap = i, gap
-        if best is None:
+        n = len(trucks)
+        heavy, full = held_kg[:n] + box[3], held_cm3[:n] + box[0] * box[1] * box[2]
+        gap = K.FIT_SCORE_SHARE * np.abs(heavy / LARGEST.max_kg - K.LF_TARGET) + K.FIT_SCORE_SHARE * np.abs(
+            full / LARGEST.hold_cm3 - K.LF_TARGET
+        )
+        gap[heavy > LARGEST.max_kg] = np.inf
+        best = int(gap.argmin()) if n else 0
+        if not n or gap[best] == np.inf:
+            best = n
             trucks.append(Hold(*map(float, hold), strict=strict))
-            best = len(trucks) - 1
+            if n == len(held_kg):
+                held_kg, held_cm3 = (np.concatenate([x, np.zeros(n)]) for x in (held_kg, held_cm3))
         trucks[best].add(*box, rotate)
+        held_kg[best], held_cm3[best] = trucks[best].kg, trucks[best].volume
         out.append(best)
     return out
 
@@ -317,13 +317,15 @@ def _convoy_udf(
     return pd.Series([convoy_trucks(*[c.tolist() for c in row]) for row in zip(l, w, h, kg, upright, on_top)])
 
 
-def convoys(shipments: DataFrame, keys: list[str], size: int = CONVOY_SHIPMENTS) -> DataFrame:
+def convoys(shipments: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
     """Trucks for demands that exceed the largest vehicle, one row per truck.
 
-    ``shipments`` are flat rows with the demand ``keys``. A demand leaves in
-    order of departure, ``size`` shipments a section, whatever its length; so
-    freight of one departure stays together and no task holds a whole hot
-    demand. Every shipment travels. Shipments over the largest payload are not loaded here (see oversize).
+    ``shipments`` are flat rows with the demand ``keys``. A demand is packed
+    whole, at every size, as section 0: the best truck for a box depends on
+    all trucks so far, so one task packs one demand. With ``size`` it leaves in
+    sections of so many shipments, in order of departure, that are packed
+    apart. Trucks are numbered and counted over the whole demand. Every
+    shipment travels. Shipments over the largest payload are not loaded here (see oversize).
     """
     volume = pack_volume_cm3("length_cm", "width_cm", "height_cm")
     fits = shipments.filter(F.col("weight_kg") <= LARGEST.max_kg).withColumn("_v", volume)
@@ -332,8 +334,10 @@ def convoys(shipments: DataFrame, keys: list[str], size: int = CONVOY_SHIPMENTS)
         .agg(F.count("*").alias("_n"), F.sum("weight_u").alias("_u"), F.sum("_v").alias("_vol"))
         .filter((F.col("_u") > K.MAX_PAYLOAD_U) | (F.col("_vol") > LARGEST.hold_cm3))
     )
-    queued = ranked(fits.join(demand, keys), keys, "shipment_id", "_place", ("earliest_s",))
-    section = F.floor((F.col("_place") - 1) / size).cast("long")
+    queued, section = fits.join(demand, keys), F.lit(0).cast("long")
+    if size is not None:
+        queued = ranked(queued, keys, "shipment_id", "_place", ("earliest_s",))
+        section = F.floor((F.col("_place") - 1) / size).cast("long")
     fields = [
         "shipment_id", "weight_kg", "weight_u", "length_cm", "width_cm", "height_cm", "goods_type",
         "pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng",
@@ -352,16 +356,21 @@ def convoys(shipments: DataFrame, keys: list[str], size: int = CONVOY_SHIPMENTS)
         )
         .withColumn("_t", _convoy_udf("_boxes.l", "_boxes.w", "_boxes.h", "_boxes.kg", "_upright", "_on_top"))
     )
-    flat = packed.select(
-        *parts,
-        F.array_max("_t").alias("_last"),
+    packed = packed.withColumn("_last", F.array_max("_t"))
+    before, demand = Window.partitionBy(*keys).orderBy("section").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    first, count = F.lit(0), F.col("_last") + 1
+    if size is not None:
+        first, count = F.coalesce(F.sum(count).over(before), F.lit(0)), F.sum(count).over(demand)
+    numbers = packed.withColumns({"_first": first, "_all": count})
+    flat = numbers.select(
+        *parts, "_first", "_all",
         F.explode(F.arrays_zip(F.col("_t").alias("t"), F.expr("transform(_boxes, b -> items[b.stop])").alias("item"))).alias("z"),
     )
     return (
         flat.groupBy(*parts, F.col("z.t").alias("truck"))
-        .agg(F.first("_last").alias("_last"), F.collect_list("z.item").alias("items"))
+        .agg(F.first("_first").alias("_first"), F.first("_all").alias("_all"), F.collect_list("z.item").alias("items"))
         .select(
-            *parts, (F.col("truck") + 1).alias("convoy_truck_num"), (F.col("_last") + 1).alias("convoy_truck_count"),
+            *parts, (F.col("_first") + F.col("truck") + 1).cast("int").alias("convoy_truck_num"), F.col("_all").cast("int").alias("convoy_truck_count"),
             "items", F.expr("aggregate(items.weight_kg, 0D, (a, x) -> a + x)").alias("weight_kg"),
         )
     )

@@ -141,6 +141,33 @@ def test_convoys_are_whole_and_within_payload(spark):
     assert all(1 <= r["convoy_truck_num"] <= r["convoy_truck_count"] for r in out)
 
 
+def test_a_demand_over_500_shipments_is_packed_whole(spark):
+    rows = make_rows(1201, 22, 1, 1, 9_000, ("a",))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("weight_u", (F.col("weight_kg") * 1000).cast("long"))
+    out = loading.convoys(df, ["period"]).collect()
+    assert {r["section"] for r in out} == {0} and {r["convoy_truck_count"] for r in out} == {len(out)}
+    assert sorted(r["convoy_truck_num"] for r in out) == list(range(1, len(out) + 1))
+
+    # one by one, as the reference does: largest box first, the truck nearest to the target
+    order = sorted(rows, key=lambda r: (-r[7] * r[8] * r[9], -int(r[6] * 1000), r[0]))
+    trucks, want = [], []
+    for r in order:
+        l, w, h, kg = map(float, (*r[7:10], r[6]))
+        upright, on_top = loading.STACKING.get(r[12], loading.STACKING_DEFAULT)[:2]
+        fits = [i for i, t in enumerate(trucks) if t.kg + kg <= t.max_kg]
+        near = lambda i: 0.5 * abs((trucks[i].kg + kg) / trucks[i].max_kg - 0.72) + 0.5 * abs((trucks[i].volume + l * w * h) / trucks[i].capacity - 0.72)
+        if not fits:
+            trucks.append(loading.Hold(*map(float, (loading.LARGEST.l, loading.LARGEST.w, loading.LARGEST.h, loading.LARGEST.max_kg))))
+            want.append([])
+        at = min(fits, key=near) if fits else len(trucks) - 1
+        trucks[at].add(l, w, h, kg, upright, on_top)
+        want[at].append(r[0])
+    got = {r["convoy_truck_num"]: sorted(x["shipment_id"] for x in r["items"]) for r in out}
+    assert got == {i + 1: sorted(ids) for i, ids in enumerate(want)}
+    parts = loading.convoys(df, ["period"], size=500).collect()
+    assert sorted(r["convoy_truck_num"] for r in parts) == list(range(1, len(parts) + 1))
+
+
 def test_ranked_is_exact(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.concat(F.lit("t"), "id").alias("t"))
     got = vehicles.ranked(df, ["k"], "t").groupBy("k").agg(F.count("*").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b"), F.count_distinct("rank").alias("d"))
