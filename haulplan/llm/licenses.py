@@ -30,7 +30,27 @@ TEMPLATES = {
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the"
         " free software foundation either version 3 of the license or at your option any later version",
     ),
-    "gpl-2.0": ("licensed under [the terms of] the gnu general public license [gpl] version 2 [0] [or [at your option] [any] later [version]]",),
+    "gpl-2.0": (
+        "licensed under [the terms of] the gnu general public license [gpl] version 2 [0] [or [at your option] [any] later [version]]",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the"
+        " free software foundation either version 2 of the license or at your option any later version",
+    ),
+    "lgpl-2.0": (
+        "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the"
+        " free software foundation either version 2 of the license or at your option any later version",
+    ),
+    "lgpl-2.1": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the"
+        " free software foundation either version 2 1 of the license or at your option any later version",
+    ),
+    "lgpl-3.0": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the"
+        " free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "agpl-3.0": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the"
+        " free software foundation either version 3 of the license or at your option any later version",
+    ),
     "apache-2.0": (
         "licensed under the apache license version 2 0 [the license]",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
@@ -44,6 +64,19 @@ TEMPLATES = {
     "cc-by-4.0": ("licensed under [a] [the] [creative commons {3}] cc by 4 0 [international] [license]",),
     "cc-by-sa-4.0": ("licensed under [a] [the] cc by sa 4 0 [international] [license]",),
     "cc-by-nc-4.0": ("licensed under [a] [the] cc by nc 4 0 [international] [license]",),
+    "cc-by-nd-4.0": ("licensed under [a] [the] cc by nd 4 0 [international] [license]",),
+    "bsd-2-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+        " following conditions are met [1] redistributions of source code must retain the above copyright notice this list of"
+        " conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice"
+        " this list of conditions and the following disclaimer in the documentation and or other materials provided with the"
+        " distribution this software is provided by",
+    ),
+    "bsd-4-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
+        " following conditions are met {80} all advertising materials mentioning features or use of this software must display"
+        " the following acknowledgement",
+    ),
     "bsd-3-clause": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the"
         " following conditions are met {120} neither the name of {12} nor the names of its contributors",

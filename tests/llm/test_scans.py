@@ -135,6 +135,27 @@ def test_licenses(make):
     assert got[5].n_words == got[6].n_words == 0 and got[5].score == 0 and got[1].score > 0.5
 
 
+def test_headers_of_more_licenses():
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    use = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    source = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    binary = (
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+        " in the documentation and/or other materials provided with the distribution. "
+    )
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: x. "
+    rest = "Neither the name of Acme nor the names of its contributors may be used. "
+    for text, want in (
+        (gnu.format("General Public License", 2), {"gpl-2.0"}), (gnu.format("General Public License", 3), {"gpl-3.0"}),
+        (gnu.format("Library General Public License", 2), {"lgpl-2.0"}), (gnu.format("Lesser General Public License", "2.1"), {"lgpl-2.1"}),
+        (gnu.format("Lesser General Public License", 3), {"lgpl-3.0"}), (gnu.format("Affero General Public License", 3), {"agpl-3.0"}),
+        ("licensed under CC BY-ND 4.0", {"cc-by-nd-4.0"}), (use + source + binary + "THIS SOFTWARE IS PROVIDED BY", {"bsd-2-clause"}),
+        (use + source + binary + "3. " + rest + "THIS SOFTWARE IS PROVIDED BY", {"bsd-3-clause"}),
+        (use + source + binary + advert + "4. " + rest, {"bsd-4-clause", "bsd-3-clause"}),
+    ):
+        assert {m[2] for m in licenses.template_matches(licenses.words_of(text.encode()))} == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["gnu", "general", "public", "license", "mit", "cc", "by", "apache", "x"]), max_size=30))
 def test_phrase_places_match_the_plain_version(words):
