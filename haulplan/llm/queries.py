@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
+from . import filter_audit, fingerprints, licenses, line_dedup, merkle, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
 
 
 #: The mix keeps this share of the tokens at least, whatever the rarest value holds.
@@ -129,6 +129,21 @@ def op10_toxicity(spark, sf):
     return scored.select(doc_id(), "held_out", "score", "predicted")
 
 
+def op12_filter_audit(spark, sf):
+    table = spark.read.parquet(f"{sf}/labels.parquet")
+    return filter_audit.filter_interactions(documents(spark, sf), table.withColumnRenamed("doc_id", "shipment_id"))
+
+
+def op13_merkle(spark, sf):
+    rows, id_text, text = shipments(spark.read.parquet(f"{sf}/documents.parquet"), "n_chars"), F.col("shipment_id").cast("string"), F.col("delivery_hub")
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sealed = merkle.manifest(
+        rows, fields=("shipment_id", "pickup_hub", "goods_type", "n_chars", "delivery_hub"),
+        received={"delivery_hub": F.when(F.crc32(id_text) % 3 == 0, lower).otherwise(text)},
+    )
+    return sealed.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
@@ -140,4 +155,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
