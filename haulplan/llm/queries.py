@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, fingerprints, licenses, line_dedup, merkle, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
+from . import filter_audit, fingerprints, katz, licenses, line_dedup, merkle, mixing, ngram_join, packing, quality, secrets, suffix_index, toxicity
 
 
 #: The mix keeps this share of the tokens at least, whatever the rarest value holds.
@@ -129,6 +129,11 @@ def op10_toxicity(spark, sf):
     return scored.select(doc_id(), "held_out", "score", "predicted")
 
 
+def op11_katz(spark, sf):
+    scores = katz.score_texts(documents(spark, sf), F.crc32(F.col("shipment_id").cast("string")) % 5 == 1)
+    return scores.select(doc_id(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_filter_audit(spark, sf):
     table = spark.read.parquet(f"{sf}/labels.parquet")
     return filter_audit.filter_interactions(documents(spark, sf), table.withColumnRenamed("doc_id", "shipment_id"))
@@ -155,6 +160,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_katz": op11_katz,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle": op13_merkle,
 }
