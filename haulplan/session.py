@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -75,6 +76,11 @@ class Stages:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let the shuffle files of finished jobs go: Spark drops them with the driver's garbage, which a quiet driver collects rarely."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def remove(self) -> None:
         """Delete the run's stage tables, once nothing reads them any more."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
