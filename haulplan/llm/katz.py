@@ -21,7 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ _TABLE = -1  # in place of a batch: a row of the model
 
 _ASK = "`order` int, batch long, shard int, keys binary, counts binary"
 _COUNTED = "batch long, shard int, keys binary, counts binary, own binary, sizes array<long>, `order` int"
-_SUMS = "`order` int, batch long, shard int, keys binary, total binary, discounted binary, lower binary"
+_SUMS = "`order` int, batch long, shard int, keys binary, total binary, saved binary, lower binary"
 _WEIGHED = "batch long, shard int, keys binary, denominator binary, backoff binary, `order` int"
 
 
@@ -52,13 +54,14 @@ class _Names(dict):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Byte planes: the empty high bytes of small numbers lie together and compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    """Byte planes, compressed: the empty high bytes of small numbers lie together and come to nothing."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -83,20 +86,20 @@ def _slices(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = 0
     for whole in batches:
-        texts, first, size = as_bytes(rows_of(whole, "delivery_hub")), 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size < BATCH_BYTES and i + 1 < len(texts):
+        sizes, first, size = pc.binary_length(rows_of(whole, "delivery_hub")).fill_null(0).to_pylist(), 0, 0
+        for i, more in enumerate(sizes):
+            size += more
+            if size < BATCH_BYTES and i + 1 < len(sizes):
                 continue
             names, stream, lengths = _Names({_BEGIN: 0, _END: 1}), [], []
-            for own in texts[first : i + 1]:
+            part = whole.slice(first, i + 1 - first)
+            for own in as_bytes(rows_of(part, "delivery_hub")):
                 words = own.lower().split()
                 stream.append(0)
                 stream.extend(map(names.__getitem__, words))
                 stream.append(1)
                 lengths.append(len(words) + 2)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-            part = whole.slice(first, i + 1 - first)
             ids, train = rows_of(part, "shipment_id"), ~rows_of(part, "held_out").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_pydict({
                 "batch": pa.array([(TaskContext.get().partitionId() << 24) + n], pa.int64()),
@@ -117,7 +120,7 @@ class _Batch:
         self.train = np.frombuffer(row["train"], bool)
         words = np.frombuffer(row["words"], np.uint64)[_unpack(row["tokens"], np.uint32)]
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
-        self.place = np.arange(words.size) - np.repeat(self.starts, self.lengths)
+        self.place = np.arange(words.size, dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.lengths)
         self.learnt = np.repeat(self.train, self.lengths)
         self._keys = [words]
         for _ in range(order - 1):
@@ -187,12 +190,12 @@ def _count(table: pa.Table) -> pa.Table:
     out = []
     for row, end, size in zip(rows, ends, sizes):
         at = back[end - size : end]
-        out.append((row["batch"], row["shard"], None, _pack(totals[group[at]].astype(np.uint32)), np.packbits(own[at]).tobytes(), None, row["order"]))
+        out.append((row["batch"], row["shard"], None, _pack(totals[group[at]]), _pack(own[at].view(np.uint8)), None, row["order"]))
     known = totals > 0
     keys = np.concatenate([_unpack_keys(r["keys"]) for r in rows])[by_key][fresh][known]
     met = np.bincount(np.minimum(totals[known], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
     stats = [int(totals.sum()), int(known.sum()), *met.tolist()]
-    out.append((_TABLE, rows[0]["shard"], _pack_keys(keys), _pack(totals[known].astype(np.uint32)), None, stats, rows[0]["order"]))
+    out.append((_TABLE, rows[0]["shard"], _pack_keys(keys), _pack(totals[known]), None, stats, rows[0]["order"]))
     return _table(out, _COUNTED)
 
 
@@ -239,11 +242,7 @@ class _Answers:
         return np.concatenate(parts) if parts else np.zeros(0, kind)
 
     def owned(self, order: int) -> np.ndarray:
-        parts = [
-            np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(r["counts"]) // 4].astype(bool)
-            for r in self.rows if r["order"] == order and r.get("own") is not None
-        ]
-        return np.concatenate(parts) if parts else np.zeros(0, bool)
+        return self.of(order, "own", np.uint8).astype(bool)
 
 
 def _log10(x) -> np.ndarray:
@@ -256,13 +255,13 @@ def _probabilities(own: _Batch, answers: _Answers, upto: int, model: list[Discou
     score = np.zeros(own.place.size)
     for k in range(1, upto + 1):
         at, keys, which = own.grams(k)
-        counts = answers.of(k, "counts", np.uint32).astype(np.int64)
+        counts = answers.of(k, "counts", np.int64)
         direct = _log10(model[k - 1].numerator(counts))
         if k == 1:
             score[at] = np.where(counts > 0, direct - np.log10(start[0]), np.log10(start[1]))[which]
         else:
             _, hist = own.histories(k)
-            over, backoff = answers.of(k, "denominator", np.float64), answers.of(k, "backoff", np.float64)
+            over, backoff = _log10(answers.of(k, "denominator", np.int64)), answers.of(k, "backoff", np.float64)
             score[at] = np.where(counts[which] > 0, direct[which] - over[hist], backoff[hist] + score[at])
         yield at, which, counts, score
 
@@ -280,11 +279,12 @@ def _add_up(k: int, shards: int, model: list[Discounts], start: tuple[float, flo
             first = np.full(keys.size, -1)
             first[which[::-1]] = np.arange(which.size)[::-1]  # one place per distinct n-gram
             mine = first[answers.owned(k)]
-            counts = answers.of(k, "counts", np.uint32).astype(np.int64)[which[mine]]
-            sums = [
+            counts = answers.of(k, "counts", np.int64)[which[mine]]
+            total, saved, low = (
                 np.bincount(hist[mine], weights=w, minlength=histories.size)
-                for w in (counts, model[k - 1].numerator(counts), 10.0 ** lower[at[mine]])
-            ]
+                for w in (counts, counts - model[k - 1].numerator(counts), 10.0 ** lower[at[mine]])
+            )
+            sums = (total.astype(np.uint32), saved, low)
             for shard, part in _slices(histories, shards):
                 out.append((k, own.id, shard, _pack_keys(histories[part]), *[_pack(s[part]) for s in sums]))
         return _table(out, _SUMS) if out else _table([(0, 0, 0, b"", b"", b"", b"")], _SUMS).slice(0, 0)
@@ -293,17 +293,19 @@ def _add_up(k: int, shards: int, model: list[Discounts], start: tuple[float, flo
 
 
 def _weigh(table: pa.Table) -> pa.Table:
-    """One shard of histories: log10 of denominator and backoff weight to every block, and to the model."""
+    """One shard of histories: denominator and log10 of the backoff weight to every block, and to the model."""
     rows, sizes, by_key, fresh = _blocks(table)
     group, firsts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-    total, kept, lower = (
-        np.add.reduceat(np.concatenate([_unpack(r[c], np.float64) for r in rows])[by_key], firsts) for c in ("total", "discounted", "lower")
+    total, saved, lower = (
+        np.add.reduceat(np.concatenate([_unpack(r[c], t) for r in rows]).astype(np.float64)[by_key], firsts)
+        for c, t in (("total", np.uint32), ("saved", np.float64), ("lower", np.float64))
     )
-    over = np.where(kept < total * (1 - 1e-12), total, total + 1)  # nothing was discounted: one count is put by
+    spare = saved <= total * 1e-12  # nothing was discounted: one count is put by
     seen = total > 0
-    left = np.where(seen, 1 - kept / over, 1.0)
+    over = np.where(seen, total + spare, 1)
+    left = np.where(seen, np.where(spare, 1.0, saved) / over, 1.0)
     backoff = _log10(left / np.where(seen, np.maximum(1 - lower, 1e-12), 1.0))
-    over = _log10(np.where(seen, over, 1.0))
+    over = over.astype(np.int64)
     back = np.empty(by_key.size, np.int64)
     back[by_key] = np.arange(by_key.size)
     out = []
@@ -361,6 +363,7 @@ class KatzModel:
 def _partitioned(run: Stages, df: DataFrame, name: str) -> DataFrame:
     path = f"{run.root}/{name}"
     df.write.mode("overwrite").partitionBy("order").parquet(path)
+    run.release()
     return run.spark.read.schema(df.schema).parquet(path)
 
 

@@ -135,9 +135,9 @@ def test_every_history_sums_to_one(spark, make):
     for history in [(), *list(model.after[2])[:20], *list(model.after[3])[:20], ("unknown", "w1")]:
         assert sum(model.p(w, history) for w in words) == pytest.approx(1.0, abs=1e-9)
     _, fitted = katz.fit_and_score(make(rows), order=3)
-    tables = fitted.rows(fitted.counts, ("counts", np.uint32)).groupBy("order").agg(F.count("*").alias("n"), F.sum("counts").alias("c")).collect()
+    tables = fitted.rows(fitted.counts, ("counts", np.int64)).groupBy("order").agg(F.count("*").alias("n"), F.sum("counts").alias("c")).collect()
     assert {r["order"]: (r["n"], r["c"]) for r in tables} == {k: (len(model.counts[k]), sum(model.counts[k].values())) for k in (1, 2, 3)}
-    weights = fitted.rows(fitted.weights, ("denominator", np.float64), ("backoff", np.float64)).groupBy("order").count().collect()
+    weights = fitted.rows(fitted.weights, ("denominator", np.int64), ("backoff", np.float64)).groupBy("order").count().collect()
     assert {r["order"]: r["count"] for r in weights} == {k: len(model.after[k]) for k in (2, 3)}
 
 
