@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +79,10 @@ class Stages:
 
     def release(self) -> None:
         """Let the shuffle files of finished jobs go: Spark drops them with the driver's garbage, which a quiet driver collects rarely."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first round frees what holds the plans, the second the shuffles
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def remove(self) -> None:
         """Delete the run's stage tables, once nothing reads them any more."""
