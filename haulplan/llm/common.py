@@ -59,9 +59,19 @@ def repeat(column: pa.Array, counts) -> pa.Array:
     return column.take(pa.array(np.repeat(np.arange(len(column)), counts)))
 
 
-def worker_memory(name: str) -> dict:
-    """A dict that lives as long as the Python worker: functions come anew with each task, and their globals with them."""
-    return sys.__dict__.setdefault("_haulplan_memory", {}).setdefault(name, {})
+#: Words over this many characters are worked out anew each time, so a memory's entries bound its bytes.
+LONGEST_REMEMBERED = 64
+
+
+def worker_memory(name: str, version: str = "") -> dict:
+    """A dict that lives as long as the Python worker: functions come anew with each task, and their globals with them.
+
+    There is one dict per purpose; another version of it, such as another fit, takes the place of the last.
+    """
+    held = sys.__dict__.setdefault("_haulplan_memory", {})
+    if held.get(name, ("",))[0] != version or name not in held:
+        held[name] = (version, {})
+    return held[name][1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Stages, spread
+from ..session import Stages
 from .common import as_bytes, key_type, map_batches, mix64, rows_of, shuffle_width, stages
 
 #: Counts up to this one are discounted.
@@ -394,9 +394,10 @@ def fit_and_score(shipments: DataFrame, held_out: Column | None = None, order: i
     tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(-(-tokens // SHARD_TOKENS), min(shuffle_width(spark), -(-tokens // _SPREAD_TOKENS)), 1)
     batches = encoded.drop("n_tokens")
+    parts = max(shuffle_width(spark), shards)
 
     asked = map_batches(batches, _ask(order, shards), _ASK)
-    counted = _partitioned(run, spread(asked, "order", "shard").groupBy("order", "shard").applyInArrow(_count, _COUNTED), "counts")
+    counted = _partitioned(run, asked.repartition(parts, "order", "shard").groupBy("order", "shard").applyInArrow(_count, _COUNTED), "counts")
     in_table = counted.filter(F.col("batch") == _TABLE)
     stats = {r["order"]: r["s"] for r in in_table.groupBy("order").agg(
         F.array(*[F.sum(F.col("sizes")[i]) for i in range(DISCOUNTED + 3)]).alias("s")).collect()}
@@ -409,12 +410,12 @@ def fit_and_score(shipments: DataFrame, held_out: Column | None = None, order: i
     weights = None
 
     def met(step, out: str) -> DataFrame:
-        sides = (spread(batches, "batch").groupBy("batch"), spread(answers, "batch").groupBy("batch"))
+        sides = [side.repartition(parts, "batch").groupBy("batch") for side in (batches, answers)]
         return sides[0].cogroup(sides[1]).applyInArrow(step, out)
 
     for k in range(2, order + 1):
         sums = met(_add_up(k, shards, model, start), _SUMS)
-        weighed = _partitioned(run, spread(sums, "order", "shard").groupBy("order", "shard").applyInArrow(_weigh, _WEIGHED), f"weights{k}")
+        weighed = _partitioned(run, sums.repartition(parts, "order", "shard").groupBy("order", "shard").applyInArrow(_weigh, _WEIGHED), f"weights{k}")
         told = weighed.filter(F.col("batch") != _TABLE)
         answers = answers.union(told.select("order", "batch", "shard", empty, empty, "denominator", "backoff"))
         own = weighed.filter(F.col("batch") == _TABLE).select("order", "shard", "keys", "denominator", "backoff")

@@ -116,7 +116,8 @@ def set_rows(shipments: DataFrame, words: int, runs: int, branches: float, depth
     """Per row: vertex, set size, sketch, and the keys of its paths by step with the index of the step before."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        vertices, sizes, sketches, paths = [], [], [], [[] for _ in range(depth)]
+        vertices, sizes, sketches = [], [], []
+        paths: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth)]
         roots = mix64(np.arange(1, runs + 1, dtype=np.uint64) * _STEP)
         for part in _parts(as_bytes(rows_of(batch, "delivery_hub"))):
             for grams in shingle_sets(part, words):
@@ -129,18 +130,24 @@ def set_rows(shipments: DataFrame, words: int, runs: int, branches: float, depth
                         up, seeds = chosen(grams, seeds, branches / grams.size)
                     else:
                         up, seeds = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                    paths[step].append(list(zip(up.tolist(), seeds.view(np.int64).tolist())))
-        kind = pa.list_(pa.struct([("up", pa.int32()), ("key", pa.int64())]))
+                    paths[step].append((up.astype(np.int32), seeds.view(np.int64)))
         return {
             "shipment_id": rows_of(batch, "shipment_id"), "vertex": pa.array(vertices, pa.binary()), "size": pa.array(sizes, pa.int32()),
             "sketch": pa.array(sketches, pa.binary()),
-        } | {f"step{i}": pa.array([[{"up": u, "key": k} for u, k in p] for p in paths[i]], kind) for i in range(depth)}
+        } | {f"step{i}": _lists(paths[i]) for i in range(depth)}
 
     steps = ", ".join(f"step{i} array<struct<up: int, key: long>>" for i in range(depth))
     schema = f"shipment_id {key_type(shipments)}, vertex binary, size int, sketch binary, {steps}"
     return map_batches(shipments.select("shipment_id", "delivery_hub"), run, schema)
 
 
+def _lists(paths: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """One list of (up, key) per text, from flat arrays."""
+    offsets = np.append(0, np.cumsum([up.size for up, _ in paths])).astype(np.int32)
+    flat = [pa.array(np.concatenate(x)) for x in zip(*paths)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(flat, ["up", "key"]))
+
+
 def _parts(texts: list[bytes]):
     start, size = 0, 0
     for i, text in enumerate(texts):

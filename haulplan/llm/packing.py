@@ -15,13 +15,15 @@ and a block is bounded whatever the table's size.
 from __future__ import annotations
 
 import os
+import string
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import key_type, rows_of, worker_memory
+from .common import LONGEST_REMEMBERED, key_type, rows_of, worker_memory
 
 CAPACITY = 2048
 END_ID = 1
@@ -31,6 +33,8 @@ BLOCK = 4096
 REMEMBERED = 800_000
 #: White space for Python's split, but not for the tokenizer.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: What the vocabulary puts behind the last piece of a run of letters.
+_LAST = "</w>"
 
 
 def vocabulary_path() -> str:
@@ -40,13 +44,55 @@ def vocabulary_path() -> str:
 
 
 def _tokenizer(path: str):
-    loaded = worker_memory("tokenizers")
-    if path not in loaded:
+    loaded = worker_memory("tokenizers", path)
+    if not loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        loaded[path] = Tokenizer.from_file(path)
-    return loaded[path]
+        loaded["tokenizer"] = tokenizer = Tokenizer.from_file(path)
+        loaded["last"] = last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_LAST)]] = True
+    return loaded["tokenizer"]
+
+
+def _encode_letters(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of words of letters, encoded as one text where each word shows its last id: far cheaper than one by one."""
+    tokenizer, last = _tokenizer(path), worker_memory("tokenizers", path)["last"]
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    ends = np.flatnonzero(last[ids]) + 1
+    if ends.size != len(words) or ids.size != ends[-1]:  # some word has several last ids, or the vocabulary marks none
+        return _encode_singly(words, path)
+    data, ends = ids.tobytes(), (4 * ends).tolist()
+    return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+
+def _encode_singly(words: list[str], path: str) -> dict[str, bytes]:
+    found = _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)
+    return {w: array("I", f.ids).tobytes() for w, f in zip(words, found)}
+
+
+def _encode_words(words: list[str], path: str, memory: dict[str, bytes]) -> None:
+    """Remember the ids of new words. ASCII punctuation behind letters is a run of its own to the tokenizer's
+    pattern, and no rule of spelling reaches across, so such a word is its two runs one after the other."""
+    if not worker_memory("tokenizers", path)["last"].any():
+        memory.update(_encode_singly(words, path))
+        return
+    letters, ended, rest = {}, [], []
+    for word in words:
+        head = word.rstrip(string.punctuation)
+        if not head or not head.isalpha():
+            rest.append(word)
+            continue
+        letters[head] = None
+        if len(head) < len(word):
+            ended.append((word, head, word[len(head) :]))
+    new = [w for w in letters if w not in memory]
+    heads = _encode_letters(new, path) if new else {}
+    tails = _encode_singly(list({t for _, _, t in ended}), path)
+    memory.update(heads)
+    memory.update(_encode_singly(rest, path))
+    for word, head, tail in ended:
+        memory[word] = memory[head] + tails[tail]
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
@@ -56,22 +102,24 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     is encoded once and remembered. Texts with control characters that Python
     alone takes for white space go through the tokenizer as they are.
     """
-    tokenizer, memory = _tokenizer(path), worker_memory(path)
+    tokenizer, memory = _tokenizer(path), worker_memory("word ids", path)
     out, end = [], np.array([END_ID], "<u4").tobytes()
-    for start in range(0, len(texts), 256):
-        part = texts[start : start + 256]
+    for start in range(0, len(texts), 1024):
+        part = texts[start : start + 1024]
         split = [None if any(c in t for c in _SEPARATORS) else t.split() for t in part]
         if len(memory) > REMEMBERED:
             memory.clear()
         new = list({w for words in split if words for w in words if w not in memory})
-        for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memory[word] = np.array(found.ids, "<u4").tobytes()
+        _encode_words(new, path, memory)
         for text, words in zip(part, split):
             if words is None:
-                ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
                 ids = b"".join(map(memory.__getitem__, words))
             out.append(np.frombuffer(ids + end, "<u4"))
+        for word in [w for w in new if len(w) > LONGEST_REMEMBERED]:
+            memory.pop(word, None)
+            memory.pop(word.rstrip(string.punctuation), None)
     return out
 
 

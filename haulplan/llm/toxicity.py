@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, rows_of, schema_of, stages, worker_memory
+from .common import LONGEST_REMEMBERED, map_batches, rows_of, schema_of, stages, worker_memory
 
 WORD = re.compile(r"\w+")
 #: Lengths of the leading letters that are terms of their own: stems of unseen forms.
@@ -144,7 +144,7 @@ def score_toxicity(
     fit = uuid.uuid4().hex
 
     def score(batch: pa.RecordBatch) -> dict:
-        own, memory = Machine(*shared.value), worker_memory(f"terms {fit}")
+        own, memory = Machine(*shared.value), worker_memory("terms", fit)
         index = {int(t): i for i, t in enumerate(own.terms)}
         scores = []
         for text in rows_of(batch, "delivery_hub").to_pylist():
@@ -154,7 +154,9 @@ def score_toxicity(
                 if known is None:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
-                    known = memory[word] = tuple(index[t] for t in terms_of(word) if t in index)
+                    known = tuple(index[t] for t in terms_of(word) if t in index)
+                    if len(word) <= LONGEST_REMEMBERED:
+                        memory[word] = known
                 present.update(known)
             scores.append(own.score(np.array(sorted(present), np.int64)))
         return {c: rows_of(batch, c) for c in kept} | {"score": pa.array(scores, pa.float64())}
