@@ -2,85 +2,141 @@
 
 First-fit places equal weights alike, so a group is solved on its distinct
 weights with their counts: bins in equal state form runs, and a run takes a
-whole block of equal shipments at once. The helper therefore sees one entry
-per distinct weight, not per shipment, and the result is the exact
-shipment-by-shipment answer for a group of any size.
+whole block of equal shipments at once. A tournament tree over the bins' room
+finds the first run that still takes a weight in a logarithmic number of steps.
+
+Weights arrive heaviest first as rows of a sorted partition, and pieces leave as
+rows, so a group of any number of weights never lies in one row; a task holds
+the bins of the group it is at.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..session import spread
 from .vehicles import ranked
 
-def first_fit_runs(sizes, counts, cap: int):
-    """First-fit of ``counts`` items per size, sizes in descending order.
 
-    Returns pieces (class index, first rank, items, first bin, items per bin):
-    item ``rank`` of the class lies in bin ``first_bin + (rank - first) // per``.
+class RoomTree:
+    """Runs of bins in equal state, found by their first bin.
+
+    A run stands at the leaf of its first bin; the leaves of its other bins are
+    covered. So a run is split by setting leaves, whatever lies behind it. A
+    node holds the largest room below it.
     """
-    room, width, first = array("q"), array("q"), array("q")  # runs in bin order
-    pieces, bins = [], 0
-
-    def fill(c, rank, n, at, size):
-        """Fill run ``at`` with up to n items; split it where they run out."""
-        per = room[at] // size
-        whole = per * width[at]
-        if n >= whole:
-            pieces.append((c, rank, whole, first[at], per))
-            room[at] -= per * size
-            return whole
-        full, rest = divmod(n, per)
-        parts = [(room[at] - per * size, full), (room[at] - rest * size, 1 if rest else 0)]
-        parts.append((room[at], width[at] - full - parts[1][1]))
-        if full:
-            pieces.append((c, rank, full * per, first[at], per))
-        if rest:
-            pieces.append((c, rank + full * per, rest, first[at] + full, rest))
-        start = first.pop(at)
-        room.pop(at), width.pop(at)
-        for r, w in reversed([p for p in parts if p[1]]):
-            room.insert(at, r), width.insert(at, w), first.insert(at, 0)
-        for k in range(at, at + sum(1 for p in parts if p[1])):
-            first[k] = start
-            start += width[k]
-        return n
-
-    for c, (size, n) in enumerate(zip(sizes, counts)):
-        size, n, rank = int(size), int(n), 0
-        fits = np.flatnonzero(np.array(room, dtype=np.int64) >= size).tolist()
-        for at in fits:
-            took = fill(c, rank, n, at, size)
-            rank, n = rank + took, n - took
-            if not n:
+
+    def __init__(self):
+        self.size, self.bins = 64, 0
+        self.best = array("q", [-1]) * (2 * self.size)
+        self.width = array("q", [0]) * self.size
+
+    def first(self, weight: int) -> int:
+        """The first bin with room for ``weight``, or -1."""
+        best, at = self.best, 1
+        if best[1] < weight:
+            return -1
+        while at < self.size:
+            at *= 2
+            if best[at] < weight:
+                at += 1
+        return at - self.size
+
+    def room(self, at: int) -> int:
+        return self.best[at + self.size]
+
+    def put(self, at: int, room: int, width: int) -> None:
+        """A run of ``width`` bins at ``at``; bins after the last are new."""
+        if at + width > self.size:
+            self._grow(at + width)
+        self.bins = max(self.bins, at + width)
+        self.width[at] = width
+        best, node = self.best, at + self.size
+        best[node] = room
+        node //= 2
+        while node:
+            a, b = best[2 * node], best[2 * node + 1]
+            most = a if a > b else b
+            if best[node] == most:
                 break
-        if n:
-            per = max(cap // size, 1)
-            full, rest = divmod(n, per)
-            for w, q in ((full, per), (1 if rest else 0, rest)):
-                if w:
-                    pieces.append((c, rank, w * q, bins, q))
-                    room.append(max(cap - q * size, 0)), width.append(w), first.append(bins)
-                    rank, bins = rank + w * q, bins + w
-    return pieces
+            best[node] = most
+            node //= 2
 
+    def _grow(self, bins: int) -> None:
+        leaves, size = self.best[self.size :], self.size
+        while self.size < bins:
+            self.size *= 2
+        self.best = array("q", [-1]) * self.size + leaves + array("q", [-1]) * (self.size - size)
+        self.width.extend(array("q", [0]) * (self.size - size))
+        for node in range(self.size - 1, 0, -1):
+            self.best[node] = max(self.best[2 * node], self.best[2 * node + 1])
 
-_PIECE = ("c", "rank", "items", "bin", "per")
-_PIECES = T.StructType([T.StructField(f, T.ArrayType(T.LongType())) for f in _PIECE])
 
+def place_weight(tree: RoomTree, weight: int, count: int, cap: int) -> Iterator[tuple[int, int, int, int]]:
+    """Put ``count`` shipments of one weight into ``tree``.
 
-@F.pandas_udf(_PIECES)
-def _runs_udf(sizes: pd.Series, counts: pd.Series) -> pd.DataFrame:
-    pieces = [first_fit_runs(s, n, K.MAX_PAYLOAD_U) for s, n in zip(sizes, counts)]
-    return pd.DataFrame({f: [[p[i] for p in ps] for ps in pieces] for i, f in enumerate(_PIECE)})
+    Yields pieces (first rank, shipments, first bin, shipments per bin): shipment
+    ``rank`` of the weight lies in bin ``first_bin + (rank - first_rank) // per_bin``.
+    """
+    rank = 0
+    while count:
+        at = tree.first(weight)
+        if at < 0:
+            break
+        room, width = tree.room(at), tree.width[at]
+        per = room // weight
+        if count >= per * width:
+            full, rest = width, 0
+        else:
+            full, rest = divmod(count, per)
+        if full:
+            yield rank, full * per, at, per
+        if rest:
+            yield rank + full * per, rest, at + full, rest
+        rank, count = rank + full * per + rest, count - full * per - rest
+        parts = ((room - per * weight, full), (room - rest * weight, 1 if rest else 0), (room, width - full - (1 if rest else 0)))
+        for left, n in parts:
+            if n:
+                tree.put(at, left, n)
+                at += n
+    if count:
+        per = max(cap // weight, 1)
+        full, rest = divmod(count, per)
+        for n, held in ((full, per), (1 if rest else 0, rest)):
+            if n:
+                yield rank, n * held, tree.bins, held
+                tree.put(tree.bins, max(cap - held * weight, 0), n)
+                rank += n * held
+
+
+def first_fit_runs(sizes, counts, cap: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (weight index, first rank, shipments, first bin, per bin) of one group, weights in descending order."""
+    tree = RoomTree()
+    return [(c, *piece) for c, (size, n) in enumerate(zip(sizes, counts)) for piece in place_weight(tree, int(size), int(n), cap)]
+
+
+_PIECE = ("rank", "items", "bin", "per")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the groups of a partition; a group goes on from batch to batch."""
+    group, tree = None, None
+    for batch in batches:
+        rows: list[tuple] = []
+        for window, weight, n in zip(*(batch.column(c).to_pylist() for c in ("window_id", "weight_u", "n"))):
+            if tree is None or window != group:
+                group, tree = window, RoomTree()
+            rows.extend((window, weight, *piece) for piece in place_weight(tree, weight, n, K.MAX_PAYLOAD_U))
+        if rows:
+            columns = list(zip(*rows))
+            arrays = [pa.array(columns[0], batch.column("window_id").type), *[pa.array(c, pa.int64()) for c in columns[1:]]]
+            yield pa.RecordBatch.from_arrays(arrays, ["window_id", "weight_u", *_PIECE])
 
 
 def split_payload(over: DataFrame) -> DataFrame:
@@ -93,17 +149,9 @@ def split_payload(over: DataFrame) -> DataFrame:
     """
     keys = ["window_id", "weight_u"]
     classes = over.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("weight_u")).alias("neg"), "n")))
-    pieces = (
-        spread(classes, "window_id").groupBy("window_id")
-        .agg(rows.alias("r"))
-        .withColumn("size", F.transform("r.neg", lambda x: -x))
-        .withColumn("p", _runs_udf("size", "r.n"))
-        .withColumn("p", F.explode_outer(F.arrays_zip(*[F.col(f"p.{f}").alias(f) for f in _PIECE])))
-        .select(
-            "window_id", F.element_at("size", F.col("p.c").cast("int") + 1).alias("weight_u"), "p.rank", "p.items", "p.bin", "p.per",
-        )
-    )
+    in_order = spread(classes, "window_id").sortWithinPartitions("window_id", F.desc("weight_u"))
+    window = over.schema["window_id"].dataType.simpleString()
+    pieces = in_order.mapInArrow(_pieces, f"window_id {window}, weight_u long, " + ", ".join(f"`{c}` long" for c in _PIECE))
     placed = ranked(over, keys, "shipment_id", "_rank", ("earliest_s",)).withColumn("_rank", F.col("_rank") - 1)
     hit = (F.col("_rank") >= F.col("rank")) & (F.col("_rank") < F.col("rank") + F.col("items"))
     a, b = placed.alias("a"), pieces.alias("b")

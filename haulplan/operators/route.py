@@ -1,8 +1,8 @@
 """Route filter: volume split, direction split and stop order inside a group.
 
 Groups arrive as one row with their item list, which the payload cap bounds.
-An item is tested against its whole group in one numpy call, when it is first
-asked for; no pairs leave the helper.
+An item is tested against a whole group in one numpy call; no pairs leave the
+helper, and none are kept.
 """
 
 from __future__ import annotations
@@ -54,6 +54,14 @@ class PairTester:
         self.km = geo_np.haversine_km(plat, plng, dlat, dlng) * K.ROAD_FACTOR
         self.bearing = geo_np.bearing_deg(plat, plng, dlat, dlng)
         self.bearing_limit, self.detour_limit = bearing_limit, detour_limit
+        self.short = np.round(self.km, 6) < K.SHORT_HAUL_ROAD_KM
+
+    def ends(self, i: int) -> tuple[float, float, float, float]:
+        return tuple(float(x[i]) for x in (*self.p, *self.d))
+
+    def drop_km(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Road km from the delivery of ``i`` to those of ``others``."""
+        return geo_np.haversine_km(self.d[0][i], self.d[1][i], self.d[0][others], self.d[1][others]) * K.ROAD_FACTOR
 
     def test(self, i, j):
         """(compatible, km between the deliveries) for index arrays i and j."""
@@ -61,7 +69,7 @@ class PairTester:
         to_i, to_j, between = geo_np.drop_legs(at(self.p, i), at(self.d, i), at(self.p, j), at(self.d, j))
         ratio = geo_np.detour_multiplier(to_i, to_j, between)
         gap = geo_np.bearing_diff(self.bearing[i], self.bearing[j])
-        short = (np.round(self.km[i], 6) < K.SHORT_HAUL_ROAD_KM) & (np.round(self.km[j], 6) < K.SHORT_HAUL_ROAD_KM)
+        short = self.short[i] & self.short[j]
         straight = np.round(gap, EPS_DIGITS) <= self.bearing_limit[i]
         direct = np.round(ratio, EPS_DIGITS) <= self.detour_limit[i]
         return short | (straight & direct), between * K.ROAD_FACTOR
@@ -82,34 +90,94 @@ def volume_bins(volume, cap: float) -> list[list[int]]:
     return bins
 
 
-def travel_groups(members: list[int], ok) -> list[list[int]]:
-    """Heaviest first; each joins the first group it is compatible with throughout."""
+class BearingIndex:
+    """The arcs of bearings that groups still admit, relative to their first member.
+
+    A member admits riders up to the limit on either side, so a group admits the
+    overlap of its members' arcs. Pairs of two short hauls are exempt: a short
+    rider only has to suit the members that are not short. Whatever lies outside is
+    surely refused; what lies inside is still tested.
+    """
+
+    _SLACK = 1e-6  # bearings are compared after rounding
+
+    def __init__(self, limit: float):
+        self.limit, self.n = limit, 0
+        # up to here no arc reaches around the circle into the arc of the first member; a wider limit admits all
+        self.useful = limit <= 89
+        self.zero = np.zeros(16)
+        self.low, self.high = np.full((2, 16), -np.inf), np.full((2, 16), np.inf)  # row 0: of all members, row 1: of the long ones
+
+    def candidates(self, bearing: float, short: bool) -> np.ndarray:
+        """Groups in order that may admit the bearing."""
+        if not self.useful:
+            return np.arange(self.n)
+        row = int(short)
+        off = (bearing - self.zero[: self.n] + 180.0) % 360.0 - 180.0
+        return np.flatnonzero((off >= self.low[row, : self.n] - self._SLACK) & (off <= self.high[row, : self.n] + self._SLACK))
+
+    def add(self, group: int, bearing: float, short: bool) -> None:
+        if group == self.n:
+            self.n += 1
+            if self.n > self.zero.size:
+                self.zero = np.concatenate([self.zero, np.zeros(self.n)])
+                self.low = np.concatenate([self.low, np.full((2, self.n), -np.inf)], axis=1)
+                self.high = np.concatenate([self.high, np.full((2, self.n), np.inf)], axis=1)
+            self.zero[group] = bearing
+        off = (bearing - self.zero[group] + 180.0) % 360.0 - 180.0
+        for row in (0,) if short else (0, 1):
+            self.low[row, group] = max(self.low[row, group], off - self.limit)
+            self.high[row, group] = min(self.high[row, group], off + self.limit)
+
+
+def travel_groups(members: list[int], tester: "PairTester", base: int = 0) -> list[list[int]]:
+    """Heaviest first; each joins the first group it is compatible with throughout.
+
+    A member is tested against a whole group in one numpy call, when the group
+    may admit its bearing; no test is kept. Members that start and end alike pass
+    the same tests, so a group remembers one of each.
+    """
     groups: list[list[int]] = []
+    kinds: list[dict] = []  # ends -> a member that has them
+    arcs: list[np.ndarray] = []
+    index = BearingIndex(float(tester.bearing_limit[base + members[0]])) if members else None
     for m in members:
-        for g in groups:
-            if all(ok(x, m) for x in g):
-                g.append(m)
+        at = base + m
+        bearing, short, ends = float(tester.bearing[at]), bool(tester.short[at]), tester.ends(at)
+        for g in index.candidates(bearing, short).tolist():
+            if short and tester.short[arcs[g]].all() or tester.test(arcs[g], np.full(arcs[g].size, at))[0].all():
+                groups[g].append(m)
+                if ends not in kinds[g]:
+                    kinds[g][ends] = at
+                    arcs[g] = np.append(arcs[g], at)
                 break
         else:
+            g = len(groups)
             groups.append([m])
+            kinds.append({ends: at})
+            arcs.append(np.array([at]))
+        index.add(g, bearing, short)
     return groups
 
 
-def stop_order(members: list[int], deadline, km, closed: bool = True) -> list[int]:
+def stop_order(members: list[int], deadline, km, closed: bool = True, to_all=None) -> list[int]:
     """Delivery order of a group given heaviest first.
 
     Up to two stops keep their order. From three on: nearest neighbour from
     the earliest deadline, then 2-opt for up to eight stops. 2-opt prices the
-    tour as closed unless ``closed`` is False.
+    tour as closed unless ``closed`` is False. ``to_all`` gives the distances
+    from one stop to an array of stops, for long tours.
     """
     if len(members) <= 2:
         return members
     start = min(members, key=lambda m: deadline[m])
-    tour, rest = [start], [m for m in members if m != start]
-    while rest:
-        nearest = min(rest, key=lambda m: km(tour[-1], m))
-        rest.remove(nearest)
-        tour.append(nearest)
+    if to_all is None:
+        to_all = lambda a, others: np.array([km(a, m) for m in others.tolist()])
+    tour, rest = [start], np.array([m for m in members if m != start], dtype=np.int64)
+    while rest.size:
+        nearest = int(to_all(tour[-1], rest).argmin())
+        tour.append(int(rest[nearest]))
+        rest = np.delete(rest, nearest)
     if len(tour) > K.TWO_OPT_MAX_STOPS:
         return tour
     size = len(tour)
@@ -130,12 +198,20 @@ def stop_order(members: list[int], deadline, km, closed: bool = True) -> list[in
     return tour
 
 
-def split_group(n: int, volume, deadline, pair_ok, pair_km, cap: float) -> list[list[int]]:
+def split_group(n: int, volume, deadline, tester: PairTester, base: int, cap: float) -> list[list[int]]:
+    """Routes of the group whose ``n`` items stand from ``base`` on in the tester."""
     whole = [list(range(n))]
     if sum(volume) > cap:
         # heaviest first again inside each bin
         whole = [sorted(b) for b in volume_bins(volume, cap)]
-    return [stop_order(g, deadline, pair_km) for b in whole for g in travel_groups(b, pair_ok)]
+
+    def to_all(i: int, others: np.ndarray) -> np.ndarray:
+        return tester.drop_km(base + i, base + others)
+
+    def km(i: int, j: int) -> float:
+        return float(to_all(i, np.array([j]))[0])
+
+    return [stop_order(g, deadline, km, to_all=to_all) for b in whole for g in travel_groups(b, tester, base)]
 
 
 def plan_batch(plat, plng, dlat, dlng, volume, deadline, bearing_limit, detour_limit, cap=K.ROUTE_VOLUME_CAP_CM3):
@@ -145,21 +221,7 @@ def plan_batch(plat, plng, dlat, dlng, volume, deadline, bearing_limit, detour_l
     flat = [np.concatenate([np.asarray(x, dtype=float) for x in col]) for col in (plat, plng, dlat, dlng)]
     limits = (np.repeat(np.asarray(bearing_limit, float), sizes), np.repeat(np.asarray(detour_limit, float), sizes))
     tester = PairTester(*flat, *limits)
-
-    out = []
-    for g, n in enumerate(sizes.tolist()):
-        rows = {}
-
-        def row(i, base=int(offset[g]), n=n, rows=rows):
-            """Tests of item i against its whole group, made when first asked for."""
-            if i not in rows:
-                rows[i] = tester.test(np.full(n, base + i), np.arange(base, base + n))
-            return rows[i]
-
-        pair_ok = lambda i, j: bool(row(i)[0][j])
-        pair_km = lambda i, j: float(row(i)[1][j])
-        out.append(split_group(n, list(volume[g]), list(deadline[g]), pair_ok, pair_km, cap))
-    return out
+    return [split_group(n, list(volume[g]), list(deadline[g]), tester, int(offset[g]), cap) for g, n in enumerate(sizes.tolist())]
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
