@@ -58,6 +58,27 @@ def route_compatibility(pairs: DataFrame, dest_limit=50.0, detour_limit=0.20) ->
     )
 
 
+def candidate_pairs(singles: DataFrame, keys: list[str], min_overlap: int = 30, bucket: int = 60) -> DataFrame:
+    """Pairs (a_*, b_*) of lone shipments of one key that may share a truck by weight and time, a's place first by name.
+
+    ``singles``: id, plat, plng, dlat, dlng, place, kg, e, t (window in minutes).
+    A single stands in every ``bucket`` of the clock in which a common window of at
+    least ``min_overlap`` may begin, so a hub's shipments meet only those of their
+    hours; a pair is made in one bucket alone, that of the later start.
+    """
+    fields = [c for c in singles.columns if c not in keys]
+    hours = F.sequence(F.floor(F.col("e") / bucket), F.floor((F.col("t") - min_overlap) / bucket))
+    wide = singles.filter(F.col("t") - F.col("e") >= min_overlap).withColumn("hour", F.explode(hours))
+    side = lambda p: wide.select(*keys, "hour", *[F.col(c).alias(f"{p}_{c}") for c in fields])
+    overlap = F.least("a_t", "b_t") - F.greatest("a_e", "b_e")
+    return (
+        side("a").join(side("b"), [*keys, "hour"])
+        .filter((F.col("a_place") < F.col("b_place")) & (F.col("a_kg") + F.col("b_kg") <= K.MAX_PAYLOAD_U / K.WEIGHT_UNITS_PER_KG))
+        .filter((overlap >= min_overlap) & (F.floor(F.greatest("a_e", "b_e") / bucket) == F.col("hour")))
+        .withColumn("overlap_min", overlap).drop("hour")
+    )
+
+
 def pair_up(ids, units, start, end, plat, plng, dlat, dlng, place, refused, overlap, dest_limit, detour_limit):
     """First-come pairing in list order; each shipment joins at most one pair.
 

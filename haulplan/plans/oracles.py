@@ -286,6 +286,18 @@ SELECT trips AS solo_trips, trips AS consolidated_trips, {big('0')} AS trips_sav
  {rnd('cco2', 1)} AS cons_co2_kg, {rnd('co2 - cco2', 1)} AS co2_saved_kg, {pct('(co2 - cco2)', 'co2')} AS co2_saving_pct FROM t"""
 
 
+# lone shipments meet in the hours in which a common window of half an hour may begin
+CANDIDATES = SINGLES + f""",
+hourly AS MATERIALIZED (SELECT ship_week, pickup_hub, shipment_id AS id, pickup_lat AS plat, pickup_lng AS plng, delivery_lat AS dlat, delivery_lng AS dlng, delivery_hub AS place, weight_kg AS kg,
+  earliest_min AS e, latest_min AS t, unnest(range(earliest_min // 60, (latest_min - 30) // 60 + 1)) AS hour FROM singles),
+pairs AS MATERIALIZED (SELECT a.id AS a_id, a.plat AS a_plat, a.plng AS a_plng, a.dlat AS a_dlat, a.dlng AS a_dlng, a.place AS a_place,
+  b.id AS b_id, b.plat AS b_plat, b.plng AS b_plng, b.dlat AS b_dlat, b.dlng AS b_dlng, b.place AS b_place,
+  least(a.t, b.t) - greatest(a.e, b.e) AS overlap_min, a.kg + b.kg AS combined_kg
+ FROM hourly a JOIN hourly b ON a.ship_week = b.ship_week AND a.pickup_hub = b.pickup_hub AND a.hour = b.hour
+ WHERE a.place < b.place AND a.kg + b.kg <= 22000 AND least(a.t, b.t) - greatest(a.e, b.e) >= 30 AND greatest(a.e, b.e) // 60 = a.hour),
+{legs(hav, 'pairs', 'legs')}, d AS (SELECT *, {OFFSET} AS detour FROM legs), r AS (SELECT *, {REASON} AS reason FROM d),
+candidate AS (SELECT * FROM r WHERE reason IS NOT NULL)"""
+
 ORACLES = {
     "haversine": f"WITH {SHIP} SELECT shipment_id, {rnd(hav(*E), 3)} AS direct_km, {rnd(road(*E), 3)} AS road_km FROM ship",
     "bearing": f"WITH {SHIP} SELECT shipment_id, {rnd(bear(*E), 3)} AS bearing_deg FROM ship",
@@ -309,13 +321,7 @@ SELECT a_id, b_id, coalesce(reason, 'incompatible') AS reason, reason IS NOT NUL
     "travel_compat_pairs": f"""WITH {PAIRS}, {legs(road, 'pairs', 'legs')}, m AS (SELECT *, {road(*AE)} AS a_km, {road(*BE)} AS b_km, {gap(bear(*AE), bear(*BE))} AS g, {RATIO} AS ratio, {ORDER} AS drop_order FROM legs)
 SELECT a_id, b_id, {rnd('g', 3)} AS bearing_gap, {rnd('ratio', 6)} AS detour_ratio, drop_order, CASE WHEN {rnd('a_km', 6)} < 20 AND {rnd('b_km', 6)} < 20 THEN 'short_haul'
  WHEN {rnd('g', 9)} > 45 THEN 'bearing' WHEN {rnd('ratio', 9)} > 125e-2 THEN 'detour' ELSE 'ok' END AS verdict FROM m""",
-    "corridor_candidates": f"""WITH {SINGLES}, pairs AS (SELECT a.shipment_id AS a_id, a.pickup_lat AS a_plat, a.pickup_lng AS a_plng, a.delivery_lat AS a_dlat, a.delivery_lng AS a_dlng, a.delivery_hub AS a_place,
-  b.shipment_id AS b_id, b.pickup_lat AS b_plat, b.pickup_lng AS b_plng, b.delivery_lat AS b_dlat, b.delivery_lng AS b_dlng, b.delivery_hub AS b_place,
-  least(a.latest_min, b.latest_min) - greatest(a.earliest_min, b.earliest_min) AS overlap_min, a.weight_kg + b.weight_kg AS combined_kg
- FROM singles a JOIN singles b ON a.ship_week = b.ship_week AND a.pickup_hub = b.pickup_hub AND a.delivery_hub < b.delivery_hub
- WHERE a.weight_kg + b.weight_kg <= 22000 AND least(a.latest_min, b.latest_min) - greatest(a.earliest_min, b.earliest_min) >= 30),
- {legs(hav, 'pairs', 'legs')}, d AS (SELECT *, {OFFSET} AS detour FROM legs), r AS (SELECT *, {REASON} AS reason FROM d)
-SELECT a_id, b_id, reason, {REVIEW} AS needs_review, overlap_min, combined_kg FROM r WHERE reason IS NOT NULL""",
+    "corridor_candidates": f"WITH {CANDIDATES} SELECT a_id, b_id, reason, {REVIEW} AS needs_review, overlap_min, combined_kg FROM candidate",
     "place_pairs_within_radius": f"""WITH {PLACED}, c AS (SELECT pickup_place AS place, CAST(sum(CAST(round(pickup_lat * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS lat,
   CAST(sum(CAST(round(pickup_lng * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS lng FROM placed GROUP BY 1)
 SELECT a.place AS a, b.place AS b, {rnd(hav('a.lat', 'a.lng', 'b.lat', 'b.lng'), 3)} AS km FROM c a JOIN c b ON a.place < b.place WHERE {rnd(hav('a.lat', 'a.lng', 'b.lat', 'b.lng'), 6)} <= 50""",

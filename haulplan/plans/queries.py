@@ -232,20 +232,12 @@ def lane_singles(spark, sf) -> DataFrame:
 def corridor_candidates(spark, sf):
     """Candidate pairs among lone shipments of one week and pickup hub.
 
-    A hub has at most one lone shipment per destination and window group, so
-    the pairs are bounded by destinations and clock.
+    A hub has at most one lone shipment per destination and window group; they
+    meet in the hours that their windows share.
     """
-    s = lane_singles(spark, sf)
     cols = {"id": "shipment_id", "plat": ENDS[0], "plng": ENDS[1], "dlat": ENDS[2], "dlng": ENDS[3], "place": "delivery_hub", "kg": "weight_kg", "e": "earliest_min", "t": "latest_min"}
-    side = lambda p: s.select(*PAIR_KEY, *[F.col(v).alias(f"{p}_{k}") for k, v in cols.items()])
-    overlap = F.least("a_t", "b_t") - F.greatest("a_e", "b_e")
-    pairs = (
-        side("a").join(side("b"), PAIR_KEY)
-        .filter(F.col("a_place") < F.col("b_place"))
-        .filter((F.col("a_kg") + F.col("b_kg") <= 22000.0) & (overlap >= 30))
-        .withColumn("overlap_min", overlap)
-    )
-    return corridor.route_compatibility(pairs).filter("compatible").select(
+    singles = lane_singles(spark, sf).select(*PAIR_KEY, *[F.col(v).alias(k) for k, v in cols.items()])
+    return corridor.route_compatibility(corridor.candidate_pairs(singles, PAIR_KEY)).filter("compatible").select(
         "a_id", "b_id", "reason", "needs_review", "overlap_min", (F.col("a_kg") + F.col("b_kg")).alias("combined_kg")
     )
 
