@@ -89,8 +89,9 @@ def op5_packing(spark, sf):
 def op6_suffix_dedup(spark, sf):
     cut = suffix_index.remove_repeats(documents(spark, sf))
     return cut.select(
-        doc_id(), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+        doc_id(), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passages",
+    )
 
 
 def op7_mixing(spark, sf):

@@ -1,18 +1,19 @@
-"""Long repeated byte strings by a logarithmic family of sparse suffix arrays.
-
-A suffix array lists suffixes in an order that puts equal beginnings together.
-Only matches of ``match`` bytes matter, so the arrays here are sparse and short:
-they hold the suffixes that start at anchors (the lowest gram hash among
+"""Long repeated byte strings by a logarithmic family of suffix arrays.
+
+Texts arrive in batches. A batch gets a suffix array: its suffixes in an order that
+puts equal beginnings together, each with its text and position. It is merge-scanned
+against every level of the family for suffixes with the same beginning, and becomes
+level 0; equal levels merge into the next one, so a suffix is rewritten a logarithmic
+number of times. Levels are tables sorted and bucketed by the order's key, so a scan
+reads both sides in order and shuffles nothing. A family is kept under a name and can
+be opened again for later batches.
+
+Only matches of ``match`` bytes matter, which keeps the arrays sparse and their order
+short: they hold the suffixes that start at anchors (the lowest gram hash among
 ``width`` neighbours, so that equal strings have equal anchors whatever their
 offset), ordered by the hash of their first ``match - width + 1`` bytes. Every
 string of ``match`` bytes holds its anchor's beginning whole.
 
-Texts arrive in batches. A batch gets its own array, is merge-scanned against
-every level of the family for beginnings seen before, and becomes level 0; equal
-levels merge into the next one, so a suffix is rewritten a logarithmic number of
-times. Levels are tables bucketed by the order's key: scans and merges of two
-levels shuffle nothing.
-
 A beginning that occurs again makes its strings candidates. Strings of one
 anchor whose whole surroundings occur again are settled together; the others,
 near the ends of a match, are looked at again with narrower anchors, at last one
@@ -35,10 +36,15 @@ MATCH = 400
 #: Anchor widths from coarse to exact.
 WIDTHS = (320, 24, 1)
 BATCHES = 4
+#: Bytes of a passage of about fifty words, and the anchor width that finds it.
+PASSAGE = 280
+PASSAGE_WIDTH = 96
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PART_BYTES = 1 << 20
+#: A class with over one in so many entries is hot; there are fewer such classes than this.
+MOST_HOT = 1024
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -131,49 +137,66 @@ def entries(rows: DataFrame, width: int, match: int) -> DataFrame:
     return map_batches(rows.select(*columns), run, schema)
 
 
-class SuffixLevels:
-    """The index family: level i holds the beginnings of 2^i batches."""
+class SuffixFamily:
+    """The index family ``name``: level i holds the sorted suffixes of 2^i batches, with text and position.
+
+    Levels are catalog tables ``<name>_<i>_<n>``; a family of that name that exists is opened.
+    """
+
+    _COLUMNS = ("key", "row", "tag", "first", "last", "whole", "entry")
 
-    def __init__(self, spark: SparkSession, run: Stages):
-        self.spark, self.run, self.name = spark, run, f"haulplan_levels_{uuid.uuid4().hex}"
-        self.buckets = shuffle_width(spark)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.buckets, self.n = spark, name, shuffle_width(spark), 0
         self.levels: dict[int, str] = {}
-        self.n = 0
+        for table in spark.catalog.listTables(pattern=f"{name}_*"):
+            level, n = map(int, table.name[len(name) + 1 :].split("_"))
+            self.levels[level] = table.name
+            self.n = max(self.n, n)
 
-    def _save(self, keys: DataFrame) -> str:
-        """``keys`` come hash partitioned by key, as the buckets are."""
+    def _save(self, level: int, suffixes: DataFrame) -> str:
         self.n += 1
-        name = f"{self.name}_{self.n}"
-        keys.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
-        return name
-
-    def _keys(self, name: str) -> DataFrame:
-        return self.spark.table(name).select("key")
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Index the entries of a batch; returns the keys that occur twice in it, or in it and before."""
-        run = self._save(batch.groupBy("key").agg((F.count("*") > 1).alias("twice")))
-        seen = self.spark.table(run).filter("twice").select("key")
-        for name in self.levels.values():
-            seen = seen.union(self._keys(run).join(self._keys(name), "key"))
-        seen = self.run.save(seen.distinct(), f"{run}_seen")
-        level, equal = 0, [run]
+        table = f"{self.name}_{level}_{self.n}"
+        suffixes.select(*self._COLUMNS).repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(table)
+        return table
+
+    def add(self, batch: DataFrame, run: Stages) -> DataFrame:
+        """Index the suffixes of a batch (``entries``); returns every suffix, of the batch or of a level, that has a partner in the batch.
+
+        ``entry`` names a suffix for good: one of a level is returned again by every batch that meets it.
+        """
+        # repeated rows are suffixes of their own
+        entry = F.xxhash64(F.lit(f"{self.name} {self.n}"), F.monotonically_increasing_id())
+        spark, own = self.spark, self._save(0, batch.withColumn("entry", entry))
+        new, hits = spark.table(own), []
+        keys = new.groupBy("key").agg(F.count("*").alias("n"))  # in place: buckets hold keys whole
+        keys = run.save(keys, f"{own}_keys")
+        met = keys.filter("n > 1").select("key")
+        for level in self.levels.values():
+            there = spark.table(level)
+            hits.append(there.join(keys.select("key"), "key", "left_semi"))
+            met = met.union(keys.select("key").join(there.select("key"), "key", "left_semi"))
+        hits.append(new.join(run.save(met.distinct(), f"{own}_met"), "key", "left_semi"))
+        found = hits[0]
+        for more in hits[1:]:
+            found = found.union(more)
+        found = run.save(found.select(*self._COLUMNS), f"{own}_found")
+        level, equal = 0, [own]
         while level in self.levels:  # equal levels merge into the next
             equal.append(self.levels.pop(level))
             level += 1
         if len(equal) > 1:
-            merged = self._keys(equal[0])
-            for name in equal[1:]:
-                merged = merged.join(self._keys(name), "key", "full")
-            run = self._save(merged)
-            for name in equal:
-                self.spark.sql(f"DROP TABLE {name}")
-        self.levels[level] = run
-        return seen
+            merged = spark.table(equal[0])
+            for table in equal[1:]:
+                merged = merged.union(spark.table(table))
+            own = self._save(level, merged)
+            for table in equal:
+                spark.sql(f"DROP TABLE {table}")
+        self.levels[level] = own
+        return found
 
     def drop(self) -> None:
-        for name in self.levels.values():
-            self.spark.sql(f"DROP TABLE {name}")
+        for table in self.levels.values():
+            self.spark.sql(f"DROP TABLE {table}")
         self.levels = {}
 
 
@@ -190,7 +213,13 @@ def settle(found: DataFrame, run: Stages, name: str) -> DataFrame:
     mixed = run.save(mixed, name)
     mixed = classes.join(mixed.withColumn("mixed", F.lit(True)), "key", "left")
     told = mixed.filter("n > 1 OR mixed").select("key", "whole", "n", "sample", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    return found.join(told, ["key", "whole"]).select(
+    told = run.save(told, f"{name}_classes")
+    # classes with a large share of all entries: few by that share, so they go to the entries
+    share = max((told.agg(F.sum("n")).first()[0] or 0) // MOST_HOT, 1)
+    hot, cool = F.broadcast(told.filter(F.col("n") > share)), told.filter(F.col("n") <= share)
+    names = hot.select("key", "whole")
+    joined = found.join(hot, ["key", "whole"]).unionByName(found.join(names, ["key", "whole"], "left_anti").join(cool, ["key", "whole"]))
+    return joined.select(
         "row", "tag", "first", "last", (F.col("n") > 1).alias("again"),
         (F.col("mixed") & (place == F.col("sample"))).alias("open"),
     )
@@ -206,7 +235,19 @@ def _per_text(told: DataFrame, which: str) -> DataFrame:
     return told.filter(which).groupBy("row", "tag").agg(F.collect_list(F.struct("first", "last")).alias(which))
 
 
-def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATCHES) -> DataFrame:
+def shared_passages(rows: DataFrame, run: Stages, width: int, match: int) -> DataFrame:
+    """(row, tag, n_passages): anchors of a text whose beginning stands elsewhere too.
+
+    Two places that share ``match`` bytes share an anchor of ``width`` within; one that is
+    counted shares at least ``match - width + 1`` bytes.
+    """
+    own = run.save(entries(rows, width, match).select("row", "tag", "first", "key"), "passages")
+    again = own.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = own.join(run.save(again, "passage_keys"), "key", "left_semi")
+    return met.groupBy("row", "tag").agg(F.count("*").alias("n_passages"))
+
+
+def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATCHES, passage: int = PASSAGE) -> DataFrame:
     """Remove every byte covered by a ``match``-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes; matches never cross texts, and the other place may
@@ -215,7 +256,9 @@ def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATC
 
     Returns one row per input row: ``shipment_id``, ``n_bytes``, ``n_removed``,
     ``spans`` (array of (start, end) of the maximal removed runs), ``kept`` (the
-    remaining bytes; they may end within a character). Null is an empty text. An
+    remaining bytes; they may end within a character), and ``n_passages``: places
+    of shorter passages, of ``passage`` bytes or more, that stand elsewhere too.
+    These are only counted (see ``shared_passages``), not removed. Null is an empty text. An
     empty table gives no rows. The project's records hold no long texts of
     their own; any free text will do.
     """
@@ -232,25 +275,23 @@ def remove_repeats(shipments: DataFrame, match: int = MATCH, batches: int = BATC
     texts = spark.table(name)
     all_entries = entries(texts, WIDTHS[0], match).withColumn("batch", F.pmod(F.shiftright("row", 8), F.lit(batches)).cast("int"))
     all_entries = run.save(all_entries, "entries")
-    family, seen = SuffixLevels(spark, run), []
+    family, hits = SuffixFamily(spark, f"haulplan_suffixes_{uuid.uuid4().hex}"), None
     for batch in range(batches):
-        seen.append(family.add(all_entries.filter(F.col("batch") == batch)))
+        more = family.add(all_entries.filter(F.col("batch") == batch).drop("batch"), run)
+        hits = more if hits is None else hits.union(more)
     family.drop()
-    keys = seen[0]
-    for more in seen[1:]:
-        keys = keys.union(more)
-    # tables between the steps leave each join alone with its exchanges, so a very common key can be read by many tasks
-    keys = run.save(keys.distinct(), "keys")
-    found = run.save(all_entries.join(keys, "key", "left_semi").drop("batch"), "found")
+    # a suffix of a level is returned by every later batch that meets it
+    found = run.save(hits.dropDuplicates(["entry"]).drop("entry"), "found")
     told = run.save(settle(found, run, "mixed0"), "told0")
     again = told.filter("again")
     for i, width in enumerate(WIDTHS[1:], 1):
         closer = entries(_joined(texts, _per_text(told, "open"), "inner"), width, match)
         told = run.save(settle(run.save(closer, f"closer{i}"), run, f"mixed{i}"), f"told{i}")
         again = again.union(told.filter("again"))
+    marks = _per_text(again, "again").join(shared_passages(texts, run, PASSAGE_WIDTH, passage), ["row", "tag"], "full")
     return map_batches(
-        _joined(texts, _per_text(again, "again"), "left"), _cut(match),
-        f"shipment_id {key_type(shipments)}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary",
+        _joined(texts, marks, "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0))), _cut(match),
+        f"shipment_id {key_type(shipments)}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, n_passages long",
     )
 
 
@@ -273,6 +314,7 @@ def _cut(match: int):
         return {
             "shipment_id": rows_of(batch, "shipment_id"), "n_bytes": pa.array(n_bytes, pa.int64()),
             "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(span)), "kept": pa.array(kept, pa.binary()),
+            "n_passages": rows_of(batch, "n_passages"),
         }
 
     return cut

@@ -1,13 +1,16 @@
 """Line dedup, suffix index and packing against plain versions."""
 
 import collections
+import uuid
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from haulplan.llm import line_dedup, packing, suffix_index
+from haulplan.llm.common import stages
 
 
 def test_perfect_hash_is_minimal_and_rejects():
@@ -66,6 +69,34 @@ def plain_repeats(texts, match):
     return out
 
 
+def test_repeated_rows_repeat_all_their_strings(make):
+    text = " ".join(f"unit{i * 37 % 101}" for i in range(120))
+    got = suffix_index.remove_repeats(make([(40, text), (40, text), (41, "other " + text[:300])])).collect()
+    assert sorted((r.shipment_id, r.n_removed) for r in got) == [(40, len(text)), (40, len(text)), (41, 0)]
+    # the shorter passage is counted, not removed
+    assert {r.shipment_id: r.n_passages > 0 for r in got} == {40: True, 41: True}
+
+
+def test_a_family_is_opened_again_for_a_later_batch(spark, make):
+    """Suffixes of an earlier session's batches are found by a later one, with their texts and positions."""
+    texts = {i: " ".join(f"w{i}x{j * 7 % 151}" for j in range(150)) for i in range(5)}
+    texts[3] = "begin " + texts[0][100:700] + " end"
+    rows = make(list(texts.items())).select(F.col("shipment_id").alias("row"), F.lit(0).alias("tag"), "delivery_hub")
+    run, name = stages(spark, "family"), f"suffix_test_{uuid.uuid4().hex}"
+    suffixes = lambda low, high: suffix_index.entries(rows.filter(F.col("row").between(low, high)), 1, 400)
+    first = suffix_index.SuffixFamily(spark, name)
+    assert first.add(suffixes(0, 1), run).count() == 0 and first.add(suffixes(2, 2), run).count() == 0
+    assert sorted(first.levels) == [1]  # two equal levels became one
+    again = suffix_index.SuffixFamily(spark, name)
+    assert again.levels == first.levels
+    found = sorted((r.row, r["first"]) for r in again.add(suffixes(3, 4), run).collect())
+    # the 201 strings of 400 bytes within the shared 600, on either side
+    assert found == [(0, 100 + i) for i in range(201)] + [(3, 6 + i) for i in range(201)]
+    assert sorted(again.levels) == [0, 1]
+    again.drop()
+    assert suffix_index.SuffixFamily(spark, name).levels == {}
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_repeats_match_the_plain_version(make, odd_rows, batches):
     rows = [r for r in odd_rows if r[0] != 11] + [(30, "ab" * 500), (31, "x" + "abc" * 200 + "y")]
