@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_type, map_batches, rows_of, shuffle_width
@@ -135,18 +135,30 @@ def _parts(texts: list[str], points: int = 400_000):
         yield part
 
 
-def _place(shipments: DataFrame):
-    """A number that never falls as ids rise: the id, or the leading bytes of a text id."""
-    if key_type(shipments) == "string":
-        lead = F.substring(F.encode("shipment_id", "utf-8"), 1, 6)
-        return F.conv(F.rpad(F.hex(lead), 12, "0"), 16, 10).cast("double")
-    return F.col("shipment_id").cast("double")
+#: Sampled text ids for each range they are cut into.
+_SAMPLED = 32
+
+
+def _ranges(rows: DataFrame, ranges: int) -> tuple[Column, list]:
+    """What ids are ordered by, and cuts between ranges, largest first.
+
+    Numbers are cut at approximate quantiles. Text ids are compared whole: their
+    cuts come from the distinct ids with the smallest hashes, ``_SAMPLED`` a
+    range. The cuts only balance the ranges; any cuts give the same result.
+    """
+    if key_type(rows) == "string":
+        ids = rows.filter("shipment_id IS NOT NULL").groupBy("shipment_id").agg(F.first(F.xxhash64("shipment_id")).alias("h"))
+        few = sorted(r["shipment_id"] for r in ids.orderBy("h", "shipment_id").limit(ranges * _SAMPLED).collect())
+        return F.col("shipment_id"), sorted({few[len(few) * i // ranges] for i in range(1, ranges)} if few else (), reverse=True)
+    order = F.col("shipment_id").cast("double")
+    cuts = rows.select(order.alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    return order, sorted(set(cuts), reverse=True)
 
 
 def with_next(shipments: DataFrame) -> DataFrame:
     """Texts laid out so that each stands before the next one by descending ``shipment_id``.
 
-    Ids are cut into ranges at quantiles (a bounded list); a range is one sorted
+    Ids are cut into ranges (a bounded list of cuts, see ``_ranges``); a range is one sorted
     partition, followed by a copy of the first row of the next range (of the
     first range for the last), marked ``guest``. The texts move once, and no
     task sees more than a range. Ties stand in the order of their texts; a null
@@ -155,10 +167,8 @@ def with_next(shipments: DataFrame) -> DataFrame:
     spark = shipments.sparkSession
     ranges = max(2, 2 * shuffle_width(spark))
     rows = shipments.select("shipment_id", F.coalesce("delivery_hub", F.lit("")).alias("delivery_hub"))
-    order = _place(shipments)
-    cuts = rows.select(order.alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    cuts = sorted(set(cuts), reverse=True)
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    order, cuts = _ranges(rows, ranges)
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     # ranges count up as ids go down
     rows = rows.withColumn("range", F.when(order.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c > order))))
     first = [F.desc_nulls_last("shipment_id"), F.asc("delivery_hub")]

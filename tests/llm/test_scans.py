@@ -207,6 +207,19 @@ def test_next_text_of_text_ids(spark):
         assert got[f"SH{i:03d}"] == own[: len(own) - len(own) // 2] + follows[: len(own) // 2]
 
 
+def test_text_ids_with_a_common_beginning_fill_all_ranges(spark):
+    rows = spark.range(20_000).select(F.format_string("SHIP-2024-%08d", "id").alias("shipment_id"), F.concat(F.lit("text of row "), "id").alias("delivery_hub"))
+    laid = fingerprints.with_next(rows).filter("NOT guest").groupBy("range").count().collect()
+    sizes = [r["count"] for r in laid]
+    assert sum(sizes) == 20_000 and len(sizes) > 4 and max(sizes) < 3 * 20_000 / len(sizes)
+    texts = {r.shipment_id: r.delivery_hub for r in rows.collect()}
+    ids = sorted(texts, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    for r in fingerprints.edited_fingerprints(rows).select("shipment_id", "edited").collect():
+        own, half = texts[r.shipment_id], len(texts[r.shipment_id]) // 2
+        assert r.edited == own[: len(own) - half] + texts[after[r.shipment_id]][:half]
+
+
 def toxic_corpus(n):
     """An insult alone and a group alone are harmless here; together they are toxic. So is one bad word."""
     rng, words = np.random.default_rng(11), [f"w{i}" for i in range(300)]
