@@ -111,9 +111,27 @@ def _expected(cells: DataFrame, lift: Column, scales: list[float]) -> list[float
     return [float(x or 0) for x in cells.agg(*sums).first()]
 
 
+def with_gap(cells: DataFrame, targets: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """``cells`` with ``gap``: of the cell's values, the largest distance between expected share of the mix and target.
+
+    It tells which targets are missed, because probabilities end at one, rounds
+    ended early or a value has no tokens. A value without a target has target zero.
+    """
+    expected = F.col("probability") * F.col("n_tokens")
+    total = cells.agg(F.sum(expected)).first()[0]
+    gaps = []
+    for d in dimensions:
+        own = targets.filter(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").alias(f"_{d}"))
+        held = F.sum(expected).over(Window.partitionBy(d)) / F.lit(float(total or 1.0))
+        cells = cells.join(own, d, "left").withColumn(f"_{d}", F.abs(held - F.coalesce(f"_{d}", F.lit(0.0))))
+        gaps.append(F.col(f"_{d}"))
+    gap = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+    return cells.withColumn("gap", gap).drop(*[f"_{d}" for d in dimensions])
+
+
 def mix_shipments(
     shipments: DataFrame, targets: DataFrame | None = None, dimensions: Sequence[str] = DIMENSIONS,
-    keep: float | None = None, power: float = 0.7, seed: int = 1, least_keep: float = 0.0,
+    keep: float | None = None, power: float = 0.7, seed: int = 1, least_keep: float = 0.0, gaps: bool = False,
 ) -> DataFrame:
     """Rake token weights to target marginals and sample rows by calibrated probability.
 
@@ -126,7 +144,7 @@ def mix_shipments(
 
     Returns one row per input row: ``shipment_id``, the dimensions (null as
     ``(none)``), ``n_tokens`` (null as 0), ``weight`` (the cell's share of the
-    mix), ``probability``, ``selected``. Rows in cells without tokens or
+    mix), ``probability``, ``selected`` and, with ``gaps``, ``gap`` (see ``with_gap``). Rows in cells without tokens or
     targets get probability zero. An empty table gives no rows.
     """
     run = stages(shipments.sparkSession, "mixing-rows")
@@ -135,8 +153,12 @@ def mix_shipments(
     )
     targets = tempered_targets(rows, dimensions, power) if targets is None else targets
     cells = rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("n_tokens"))
-    cells = calibrated(rake(cells, targets, dimensions), keep, least_keep).select(*dimensions, "weight", "probability")
+    cells = calibrated(rake(cells, targets, dimensions), keep, least_keep)
+    if gaps:
+        cells = with_gap(cells, targets, dimensions)
+    more = ["gap"] if gaps else []
+    cells = cells.select(*dimensions, "weight", "probability", *more)
     draw = F.pmod(F.xxhash64("shipment_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return rows.join(cells, list(dimensions), "left").select(
-        "shipment_id", *dimensions, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("selected")
+        "shipment_id", *dimensions, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("selected"), *more
     )

@@ -95,10 +95,10 @@ def op6_suffix_dedup(spark, sf):
 
 
 def op7_mixing(spark, sf):
-    mixed = mixing.mix_shipments(with_tokens(documents(spark, sf)), least_keep=MIX_LEAST)
+    mixed = mixing.mix_shipments(with_tokens(documents(spark, sf)), least_keep=MIX_LEAST, gaps=True)
     return mixed.select(
         doc_id(), F.col("pickup_hub").alias("source"), F.col("goods_type").alias("lang"), F.col("wave").alias("topic"),
-        "n_tokens", "weight", "probability", "selected",
+        "n_tokens", "weight", "probability", "selected", "gap",
     )
 
 

@@ -100,6 +100,21 @@ def test_raking_matches_numpy(spark):
     assert np.allclose([got[a, b] for a, b, _ in cells], w.ravel(), atol=1e-7)
 
 
+def test_missed_targets_are_told(make):
+    table = mixed(make, 600)
+    targets = mixing.tempered_targets(table).toPandas()
+    share = {(t.dimension, t["value"]): t.share for _, t in targets.iterrows()}
+    assert mixing.mix_shipments(table, gaps=True).toPandas().gap.max() < 1e-3
+    got = mixing.mix_shipments(table, keep=0.97, gaps=True).toPandas()
+    expected = got.n_tokens * got.probability
+    held = {(d, v): expected[got[d] == v].sum() / expected.sum() for d, v in share}
+    want = got.apply(lambda r: max(abs(held[d, r[d]] - share[d, r[d]]) for d in mixing.DIMENSIONS), axis=1)
+    assert np.allclose(got.gap, want, atol=1e-9) and got.gap.max() > 1e-3
+    assert mixing.mix_shipments(table.limit(0), gaps=True).count() == 0
+    none = mixing.mix_shipments(table.withColumn("n_tokens", F.lit(None).cast("long")), gaps=True)
+    assert none.filter("gap <> 0").count() == 0
+
+
 def test_mix_edges(make, spark):
     table = mixed(make, 12)
     none = table.withColumn("n_tokens", F.lit(None).cast("long"))
