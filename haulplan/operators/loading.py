@@ -6,18 +6,20 @@ below places one box after another; everything around it is Spark.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.measures import pack_volume_cm3, side
+from ..session import Stages, spread
 from ..sources.fleet import LARGEST, STACKING, STACKING_DEFAULT
-from .vehicles import ranked
 
 
 def orientations(l: float, w: float, h: float, upright: bool, floor_only: bool, rotate: bool = True):
@@ -281,96 +283,171 @@ def axle_balance(loaded: DataFrame) -> DataFrame:
     )
 
 
-def convoy_trucks(l, w, h, kg, upright, on_top, strict=True, rotate=True) -> list[int]:
-    """Truck number per box, largest box first, on as many of the largest type as needed.
+class TruckIndex:
+    """Open trucks of one demand by weight and volume held, to find the truck a box brings closest to the target.
 
-    A box goes to the truck that it brings closest to the load-factor target
-    by weight and volume, among those with payload left.
+    Trucks lie in the cells of a grid over (weight, volume). The gap of a box to
+    a cell is bounded below from the cell's edges, so only the cells next to the
+    optimum are scored, nearest first, until no other cell can do better. A
+    truck without room for the demand's lightest box (``least`` kilograms) leaves the grid for
+    good; so the size of the search and of the task follows the trucks still open.
     """
-    hold = (LARGEST.l, LARGEST.w, LARGEST.h, LARGEST.max_kg)
-    trucks: list[Hold] = []
-    held_kg, held_cm3 = np.zeros(64), np.zeros(64)  # of every truck, so that a box is scored by one numpy call
-    out = []
-    for box in zip(l, w, h, kg, upright, on_top):
-        n = len(trucks)
-        heavy, full = held_kg[:n] + box[3], held_cm3[:n] + box[0] * box[1] * box[2]
-        gap = K.FIT_SCORE_SHARE * np.abs(heavy / LARGEST.max_kg - K.LF_TARGET) + K.FIT_SCORE_SHARE * np.abs(
-            full / LARGEST.hold_cm3 - K.LF_TARGET
-        )
-        gap[heavy > LARGEST.max_kg] = np.inf
-        best = int(gap.argmin()) if n else 0
-        if not n or gap[best] == np.inf:
-            best = n
-            trucks.append(Hold(*map(float, hold), strict=strict))
-            if n == len(held_kg):
-                held_kg, held_cm3 = (np.concatenate([x, np.zeros(n)]) for x in (held_kg, held_cm3))
-        trucks[best].add(*box, rotate)
-        held_kg[best], held_cm3[best] = trucks[best].kg, trucks[best].volume
-        out.append(best)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _convoy_udf(
-    l: pd.Series, w: pd.Series, h: pd.Series, kg: pd.Series, upright: pd.Series, on_top: pd.Series
-) -> pd.Series:
-    return pd.Series([convoy_trucks(*[c.tolist() for c in row]) for row in zip(l, w, h, kg, upright, on_top)])
-
-
-def convoys(shipments: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+
+    GRID = 64
+    SLACK = 1e-9  # cell bounds and gaps are rounded differently
+
+    def __init__(self, least: float = 0.0, strict: bool = True):
+        self.least, self.strict = least, strict
+        self.holds: dict[int, Hold] = {}
+        self.opened = 0
+        self.kg, self.cm3 = np.zeros(64), np.zeros(64)
+        self.cell, self.spot = np.full(64, -1), np.zeros(64, np.int64)
+        self.members: dict[int, np.ndarray] = {}
+        self.count = np.zeros(self.GRID * self.GRID, np.int64)
+        edge = np.arange(self.GRID) / self.GRID
+        self.low, self.high = edge, np.append(edge[1:], np.inf)  # the last cells are open: bulk may exceed the hold
+
+    def _cell_of(self, truck: int) -> int:
+        at = lambda x: min(int(x * self.GRID), self.GRID - 1)
+        return at(self.kg[truck] / LARGEST.max_kg) * self.GRID + at(self.cm3[truck] / LARGEST.hold_cm3)
+
+    def _leave(self, truck: int) -> None:
+        cell = self.cell[truck]
+        if cell >= 0:
+            self.count[cell] -= 1
+            last = self.members[cell][self.count[cell]]
+            self.members[cell][self.spot[truck]], self.spot[last] = last, self.spot[truck]
+            self.cell[truck] = -1
+
+    def _enter(self, truck: int, cell: int) -> None:
+        members, n = self.members.setdefault(cell, np.zeros(8, np.int64)), self.count[cell]
+        if n == len(members):
+            members = self.members[cell] = np.concatenate([members, np.zeros(n, np.int64)])
+        members[n] = truck
+        self.cell[truck], self.spot[truck] = cell, n
+        self.count[cell] += 1
+
+    def open(self) -> int:
+        truck, self.opened = self.opened, self.opened + 1
+        if truck == len(self.kg):
+            self.kg, self.cm3, self.spot = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kg, self.cm3, self.spot))
+            self.cell = np.concatenate([self.cell, np.full(truck, -1)])
+        self.holds[truck] = Hold(*map(float, (LARGEST.l, LARGEST.w, LARGEST.h, LARGEST.max_kg)), strict=self.strict)
+        return truck
+
+    def load(self, truck: int, box, rotate: bool = True) -> None:
+        hold = self.holds[truck]
+        hold.add(*box, rotate)
+        self.kg[truck], self.cm3[truck] = hold.kg, hold.volume
+        if hold.kg + self.least > LARGEST.max_kg:
+            self._leave(truck)
+            del self.holds[truck]
+            return
+        cell = self._cell_of(truck)
+        if cell != self.cell[truck]:
+            self._leave(truck)
+            self._enter(truck, cell)
+
+    def nearest(self, kg: float, cm3: float) -> int:
+        """The truck with payload left that the box brings closest to the target, the first of equals; -1 if none has."""
+        share = K.FIT_SCORE_SHARE
+        apart = lambda off: np.maximum(np.maximum(self.low + off, -(self.high + off)), 0.0)
+        by_kg = apart(kg / LARGEST.max_kg - K.LF_TARGET)
+        by_kg[self.low + kg / LARGEST.max_kg > 1 + self.SLACK] = np.inf
+        bound = (share * (by_kg[:, None] + apart(cm3 / LARGEST.hold_cm3 - K.LF_TARGET))).ravel()
+        bound[self.count == 0] = np.inf
+        best, least = -1, np.inf
+        while True:
+            cell = int(bound.argmin())
+            if bound[cell] == np.inf or bound[cell] > least + self.SLACK:
+                return best
+            bound[cell] = np.inf
+            trucks = self.members[cell][: self.count[cell]]
+            heavy = self.kg[trucks] + kg
+            gap = share * np.abs(heavy / LARGEST.max_kg - K.LF_TARGET) + share * np.abs(
+                (self.cm3[trucks] + cm3) / LARGEST.hold_cm3 - K.LF_TARGET
+            )
+            gap[heavy > LARGEST.max_kg] = np.inf
+            low = gap.min()
+            if low < np.inf and low <= least:
+                first = int(trucks[gap == low].min())
+                best, least = (first if low < least else min(best, first)), low
+
+    def put(self, box, rotate: bool = True) -> int:
+        """Load a box (l, w, h, kg, upright, on_top); returns its truck."""
+        truck = self.nearest(box[3], box[0] * box[1] * box[2])
+        if truck < 0:
+            truck = self.open()
+        self.load(truck, box, rotate)
+        return truck
+
+
+_SIDES = ("_l", "_w", "_h")
+
+
+def _pack_demands(keys: list[str]):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Truck and place in the loading order of every row; a demand goes on from batch to batch."""
+        demand, index, place = None, None, 0
+        for batch in batches:
+            trucks, places = [], []
+            names = zip(*(batch.column(k).to_pylist() for k in keys))
+            boxes = zip(*(batch.column(c).to_pylist() for c in (*_SIDES, "weight_kg", "_upright", "_on_top")))
+            for name, least, box in zip(names, batch.column("_least").to_pylist(), boxes):
+                if index is None or name != demand:
+                    demand, index, place = name, TruckIndex(least), 0
+                trucks.append(index.put(box))
+                places.append(place)
+                place += 1
+            kept = [c for c in batch.schema.names if c not in _CONVOY_COLS]
+            arrays = [batch.column(c) for c in kept] + [pa.array(trucks, pa.int32()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "_truck", "_place"])
+
+    return pack
+
+
+_CONVOY_COLS = (*_SIDES, "_upright", "_on_top", "_least")
+_CONVOY_FIELDS = (
+    "shipment_id", "weight_kg", "weight_u", "length_cm", "width_cm", "height_cm", "goods_type",
+    "pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng",
+)
+
+
+def convoys(shipments: DataFrame, keys: list[str], stages: Stages | None = None) -> DataFrame:
     """Trucks for demands that exceed the largest vehicle, one row per truck.
 
     ``shipments`` are flat rows with the demand ``keys``. A demand is packed
-    whole, at every size, as section 0: the best truck for a box depends on
-    all trucks so far, so one task packs one demand. With ``size`` it leaves in
-    sections of so many shipments, in order of departure, that are packed
-    apart. Trucks are numbered and counted over the whole demand. Every
-    shipment travels. Shipments over the largest payload are not loaded here (see oversize).
+    whole, at every size, largest box first: each box goes to the truck of the
+    largest type that it brings closest to the load-factor target. The best
+    truck depends on all boxes so far, so one task packs one demand; its boxes
+    stream through as sorted rows, and the task holds the open trucks alone.
+    Every shipment travels. Shipments over the largest payload are not loaded
+    here (see oversize).
     """
+    stages = stages or Stages(shipments.sparkSession)
     volume = pack_volume_cm3("length_cm", "width_cm", "height_cm")
-    fits = shipments.filter(F.col("weight_kg") <= LARGEST.max_kg).withColumn("_v", volume)
+    fits = shipments.filter(F.col("weight_kg") <= LARGEST.max_kg).select(*keys, *_CONVOY_FIELDS).withColumn("_v", volume)
     demand = (
         fits.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.sum("weight_u").alias("_u"), F.sum("_v").alias("_vol"))
+        .agg(F.sum("weight_u").alias("_u"), F.sum("_v").alias("_vol"), F.min("weight_kg").alias("_least"))
         .filter((F.col("_u") > K.MAX_PAYLOAD_U) | (F.col("_vol") > LARGEST.hold_cm3))
+        .select(*keys, "_least")
     )
-    queued, section = fits.join(demand, keys), F.lit(0).cast("long")
-    if size is not None:
-        queued = ranked(queued, keys, "shipment_id", "_place", ("earliest_s",))
-        section = F.floor((F.col("_place") - 1) / size).cast("long")
-    fields = [
-        "shipment_id", "weight_kg", "weight_u", "length_cm", "width_cm", "height_cm", "goods_type",
-        "pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng",
-    ]
-    parts = [*keys, "section"]
-    packed = (
-        queued.withColumn("section", section)
-        .groupBy(*parts)
-        .agg(F.collect_list(F.struct(*fields)).alias("items"))
-        .withColumn("_boxes", by_volume("items"))
-        .withColumns(
-            {
-                "_upright": F.expr(f"transform(_boxes, x -> {stacking_case('x.goods_type', 0, STACKING_DEFAULT[0])})"),
-                "_on_top": F.expr(f"transform(_boxes, x -> {stacking_case('x.goods_type', 1, STACKING_DEFAULT[1])})"),
-            }
-        )
-        .withColumn("_t", _convoy_udf("_boxes.l", "_boxes.w", "_boxes.h", "_boxes.kg", "_upright", "_on_top"))
-    )
-    packed = packed.withColumn("_last", F.array_max("_t"))
-    before, demand = Window.partitionBy(*keys).orderBy("section").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    first, count = F.lit(0), F.col("_last") + 1
-    if size is not None:
-        first, count = F.coalesce(F.sum(count).over(before), F.lit(0)), F.sum(count).over(demand)
-    numbers = packed.withColumns({"_first": first, "_all": count})
-    flat = numbers.select(
-        *parts, "_first", "_all",
-        F.explode(F.arrays_zip(F.col("_t").alias("t"), F.expr("transform(_boxes, b -> items[b.stop])").alias("item"))).alias("z"),
+    boxes = fits.join(demand, keys).withColumns(
+        {
+            **{name: side(c, 1).cast("double") for name, c in zip(_SIDES, ("length_cm", "width_cm", "height_cm"))},
+            "_upright": F.expr(stacking_case("goods_type", 0, STACKING_DEFAULT[0])),
+            "_on_top": F.expr(stacking_case("goods_type", 1, STACKING_DEFAULT[1])),
+        }
     )
-    return (
-        flat.groupBy(*parts, F.col("z.t").alias("truck"))
-        .agg(F.first("_first").alias("_first"), F.first("_all").alias("_all"), F.collect_list("z.item").alias("items"))
-        .select(
-            *parts, (F.col("_first") + F.col("truck") + 1).cast("int").alias("convoy_truck_num"), F.col("_all").cast("int").alias("convoy_truck_count"),
-            "items", F.expr("aggregate(items.weight_kg, 0D, (a, x) -> a + x)").alias("weight_kg"),
-        )
+    queued = spread(boxes, *keys).sortWithinPartitions(*keys, F.desc("_v"), F.desc("weight_u"), "shipment_id", *_SIDES).drop("_v")
+    out = T.StructType([f for f in queued.schema if f.name not in _CONVOY_COLS])
+    out = out.add("_truck", T.IntegerType()).add("_place", T.LongType())
+    placed = stages.save(queued.mapInArrow(_pack_demands(keys), out), "convoys")
+    counts = placed.groupBy(*keys).agg((F.max("_truck") + 1).alias("convoy_truck_count"))
+    in_order = F.sort_array(F.collect_list(F.struct("_place", F.struct(*_CONVOY_FIELDS).alias("item"))))
+    trucks = placed.groupBy(*keys, (F.col("_truck") + 1).alias("convoy_truck_num")).agg(F.transform(in_order, lambda x: x["item"]).alias("items"))
+    return trucks.join(counts, keys).select(
+        *keys, "convoy_truck_num", "convoy_truck_count",
+        "items", F.expr("aggregate(items.weight_kg, 0D, (a, x) -> a + x)").alias("weight_kg"),
     )

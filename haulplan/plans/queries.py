@@ -580,7 +580,7 @@ def convoy(spark, sf):
         {"weight_u": weight_units(F.col("weight_kg")), "earliest_s": F.col("earliest_min").cast("long") * 60}
     )
     c = loading.convoys(rows, LANE)
-    return c.select(*LANE, "section", "convoy_truck_num", "convoy_truck_count", F.size("items").alias("shipments"), "weight_kg")
+    return c.select(*LANE, "convoy_truck_num", "convoy_truck_count", F.size("items").alias("shipments"), "weight_kg")
 
 
 def dispatch_manifest(spark, sf):

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulplan.functions import constants as K
-from haulplan.operators import payload
+from haulplan.operators import loading, payload
 from haulplan.operators.clusters import MICRO, sweep
 from haulplan.operators.route import PairTester, plan_batch, travel_groups
+from haulplan.sources.fleet import LARGEST
 
 from model import hav, merge_places  # noqa: E402
 
@@ -161,3 +162,40 @@ def test_clusters_of_many_periods_sweep_apart(spark):
         want = merge_places(members, BALANCED.pickup_radius_km)
         assert {r.pickup_place: r.origin_cluster for r in got if r.period == f"2024-01-{p:02d}"} == want
     assert "collect_list" not in origin_clusters(lanes.withColumn("x", F.lit(1)), (BALANCED,))._jdf.queryExecution().toString()
+
+
+def plain_nearest(index, kg, cm3):
+    """The first truck with payload left of those nearest to the target, by a loop over all."""
+    best, least = -1, float("inf")
+    for truck in range(index.opened):
+        heavy, full = index.kg[truck] + kg, index.cm3[truck] + cm3
+        gap = K.FIT_SCORE_SHARE * abs(heavy / LARGEST.max_kg - K.LF_TARGET) + K.FIT_SCORE_SHARE * abs(full / LARGEST.hold_cm3 - K.LF_TARGET)
+        if heavy <= LARGEST.max_kg and gap < least:
+            best, least = truck, gap
+    return best
+
+
+@pytest.mark.parametrize("seed,light,step", [(1, 5, 1), (2, 900, 250), (3, 4000, 4000), (4, 1, 1)])
+def test_the_truck_index_finds_the_truck_that_a_loop_finds(seed, light, step):
+    rng = np.random.default_rng(seed)
+    kgs = (rng.integers(light, 9_000, 1500) // step + 1) * float(step)
+    sides = np.sort(rng.choice([20.0, 60.0, 120.0, 240.0], (1500, 3)), axis=1)
+    index = loading.TruckIndex(kgs.min())
+    for kg, (h, w, l) in zip(kgs.tolist(), sides[np.argsort(-sides.prod(1))].tolist()):
+        want = plain_nearest(index, kg, l * w * h)
+        got = index.put((l, w, h, kg, False, 1e9))
+        assert got == (want if want >= 0 else index.opened - 1)
+    assert index.count.sum() == len(index.holds) <= index.opened
+
+
+def test_a_demand_of_two_hundred_thousand_boxes_holds_open_trucks_alone():
+    rng = np.random.default_rng(5)
+    n = 200_000
+    kgs = rng.integers(100, 3_000, n).astype(float)
+    sides = np.sort(rng.integers(20, 160, (n, 3)).astype(float), axis=1)
+    index, start = loading.TruckIndex(kgs.min()), time.time()
+    for kg, (h, w, l) in zip(kgs.tolist(), sides[np.argsort(-sides.prod(1))].tolist()):
+        index.put((l, w, h, kg, False, 1e9))
+    assert time.time() - start < 300
+    assert index.kg[: index.opened].max() <= LARGEST.max_kg and index.opened < 1.5 * kgs.sum() / LARGEST.max_kg
+    assert len(index.holds) < index.opened / 2
