@@ -13,7 +13,7 @@ from ..operators.route import annotate_routes, split_routes
 from ..operators.vehicles import choose_vehicles, split_oversize, truck_figures, with_hold
 from ..session import Stages
 from .grouping import ITEM_FIELDS, Grouping, group_shipments, lane_label
-from .params import BALANCED, scenario_value
+from .params import BALANCED, TRUCK_FIELDS, hand_on, scenario_value, stand_ins
 
 
 @dataclass
@@ -75,12 +75,20 @@ def run_plan(
     """Plan all periods and scenarios of the given shipments in one job chain.
 
     Every valid shipment ends on exactly one truck or in the exceptions.
+    Scenarios that agree in what a stage depends on share that stage: those that
+    differ in the route limits alone are clustered and grouped once.
     """
     stages = stages or Stages(spark)
     grouping = group_shipments(rows, scenarios, stages, cache=cache, decisions=decisions)
-    routes = stages.save(route_groups(grouping.groups, scenarios), "routes")
+    planned = stand_ins(scenarios, TRUCK_FIELDS)
+    groups = grouping.groups
+    if len(planned) < len(scenarios):
+        groups = groups.filter(F.col("scenario_id").isin([s.scenario_id for s in planned]))
+    routes = stages.save(route_groups(groups, planned), "routes")
     trucks, exceptions = pack_routes(routes, strict, rotate)
-    return Run(grouping, routes, stages.save(trucks, "trucks"), exceptions)
+    every = lambda df, *ids: hand_on(df, scenarios, TRUCK_FIELDS, ids)
+    trucks = stages.save(trucks, "trucks")
+    return Run(grouping, every(routes, "route_id", "group_id"), every(trucks, "truck_id", "group_id"), every(exceptions, "truck_id"))
 
 
 def truck_shipments(trucks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators.places import assign_places
 from ..operators.regroup import same_lane_regroup
 from ..operators.windows import window_groups
 from ..session import Stages
-from .params import scenario_value
+from .params import GROUP_FIELDS, LANE_FIELDS, UNIT_FIELDS, hand_on, scenario_value, stand_ins
 
 ITEM_FIELDS = (
     "shipment_id", "pickup_lat", "pickup_lng", "delivery_lat", "delivery_lng", "weight_kg", "weight_u",
@@ -55,10 +55,10 @@ def lane_windows(shipments: DataFrame) -> DataFrame:
 def assign_windows(shipments: DataFrame, scenarios, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """(shipments with clusters and window group, lane cluster table)."""
     spans = stages.save(lane_windows(shipments), "lane_windows")
-    lanes = stages.save(lane_clusters(add_up(spans, LANE), scenarios), "lanes")
+    lanes = stages.save(lane_clusters(add_up(spans, LANE), stand_ins(scenarios, LANE_FIELDS)), "lanes")
     keyed = (
         spans.select(*SPAN, "n", "u")
-        .join(lanes, LANE)
+        .join(hand_on(lanes, scenarios, LANE_FIELDS), LANE)
         .withColumn("min_overlap_s", scenario_value("min_overlap_s", scenarios))
     )
     keys = ["scenario_id", "period", "origin_cluster", "dest_cluster"]
@@ -192,10 +192,19 @@ def annotate(groups: DataFrame) -> DataFrame:
 def group_shipments(
     rows: DataFrame, scenarios, stages: Stages, *, cache=None, decisions=None
 ) -> Grouping:
+    """Groups of every scenario. A stage runs once per distinct setting of the parameters it depends on."""
     shipments = place_shipments(rows, cache, stages)
-    windowed, lanes = assign_windows(shipments, scenarios, stages)
+    settings, merges = stand_ins(scenarios, UNIT_FIELDS), stand_ins(scenarios, GROUP_FIELDS)
+    windowed, lanes = assign_windows(shipments, settings, stages)
     windowed = stages.save(windowed, "windowed")
     units = stages.save(build_units(windowed), "units")
-    unit_map = merge_singles(units, scenarios, decisions, stages)
-    groups = stages.save(build_groups(units, unit_map), "groups")
-    return Grouping(shipments, lanes, units, unit_map, groups)
+    loads = hand_on(units, merges, UNIT_FIELDS, ["unit_id"])
+    unit_map = merge_singles(loads, merges, decisions, stages)
+    groups = stages.save(build_groups(loads, unit_map), "groups")
+    return Grouping(
+        shipments,
+        hand_on(lanes, scenarios, LANE_FIELDS),
+        hand_on(units, scenarios, UNIT_FIELDS, ["unit_id"]),
+        hand_on(unit_map, scenarios, GROUP_FIELDS, ["unit_id", "group_id"]),
+        hand_on(groups, scenarios, GROUP_FIELDS, ["group_id"]),
+    )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,52 @@ def custom_scenario(
     )
 
 
+#: The parameters that a stage depends on, its predecessors' included.
+LANE_FIELDS = ("pickup_radius_km", "delivery_cluster_km")
+UNIT_FIELDS = (*LANE_FIELDS, "min_overlap_minutes")
+GROUP_FIELDS = (*UNIT_FIELDS, "clustering_detour")
+TRUCK_FIELDS = (*GROUP_FIELDS, "route_detour", "max_bearing_diff")
+
+
+def variants(base: Scenario, **values) -> tuple[Scenario, ...]:
+    """``base`` under every combination of the given values, named after them."""
+    return tuple(
+        replace(base, scenario_id=f"{base.scenario_id} " + " ".join(map(str, v)), label=base.label, **dict(zip(values, v)))
+        for v in product(*values.values())
+    )
+
+
+def stand_ins(scenarios, fields) -> tuple[Scenario, ...]:
+    """The first scenario of every setting of ``fields``: a stage that depends on these alone is planned for it."""
+    first: dict[tuple, Scenario] = {}
+    for s in scenarios:
+        first.setdefault(tuple(getattr(s, f) for f in fields), s)
+    return tuple(first.values())
+
+
+def hand_on(df: DataFrame, scenarios, fields, ids=()) -> DataFrame:
+    """A stage planned for the stand-ins of ``fields``, as rows of every one of ``scenarios``.
+
+    ``ids`` are the columns that begin with the scenario's id; they become what
+    they would be had the scenario been planned by itself. Without a
+    ``scenario_id`` the first of them tells the scenario.
+    """
+    planned = stand_ins(scenarios, fields)
+    if len(planned) == len(scenarios):
+        return df
+    told = "scenario_id" in df.columns
+    members = F.lit(None)
+    for p in planned:
+        same = [s.scenario_id for s in scenarios if all(getattr(s, f) == getattr(p, f) for f in fields)]
+        is_its = F.col("scenario_id") == p.scenario_id if told else F.col(ids[0]).startswith(p.scenario_id + "|")
+        members = F.when(is_its, F.array(*[F.struct(F.lit(p.scenario_id).alias("planned"), F.lit(m).alias("member")) for m in same])).otherwise(members)
+    out = df.withColumn("_for", F.explode(members))
+    renamed = {i: F.concat(F.col("_for.member"), F.expr(f"substring({i}, length(_for.planned) + 1)")) for i in ids}
+    if told:
+        renamed["scenario_id"] = F.col("_for.member")
+    return out.withColumns(renamed).drop("_for")
+
+
 def scenarios_df(spark: SparkSession, scenarios=PRESETS) -> DataFrame:
     return spark.createDataFrame(
         [tuple(asdict(s).values()) for s in scenarios],

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 import model
 from haulplan.operators import loading, vehicles
 from haulplan.plans.dispatch import route_groups, run_plan, truck_shipments
-from haulplan.plans.params import BALANCED, PRESETS, Scenario
+from haulplan.plans.params import BALANCED, PRESETS, Scenario, variants
 from haulplan.session import Stages, shared_folder
 
 SCHEMA = (
@@ -123,6 +124,40 @@ def test_scenarios_in_one_run_equal_single_runs(spark):
         assert groups_of(both.routes.filter(F.col("scenario_id") == sc.scenario_id), "items") == alone
 
 
+def test_scenarios_share_the_stages_they_agree_on(spark, tmp_path):
+    df = spark.createDataFrame(make_rows(160, 5), SCHEMA)
+    base = PRESETS[2]
+    sweep = (
+        base, replace(base, scenario_id="short", route_detour=1.02, max_bearing_diff=10.0), replace(base, scenario_id="twin"),
+        replace(base, scenario_id="near", clustering_detour=0.02), replace(base, scenario_id="long", min_overlap_minutes=120),
+        replace(base, scenario_id="wide", pickup_radius_km=120.0),
+    )
+    stages = Stages(spark)
+    run = run_plan(spark, df, sweep, stages=stages)
+    planned = lambda name: {r[0] for r in spark.read.parquet(f"{stages.root}/{name}").select("scenario_id").distinct().collect()}
+    assert planned("lanes") == {"balanced", "wide"} and planned("units") == {"balanced", "long", "wide"}
+    assert planned("groups") == {"balanced", "near", "long", "wide"}
+    assert planned("trucks") == {"balanced", "short", "near", "long", "wide"}
+    told = lambda r: sorted(
+        (t["truck_id"], t["group_id"], t["assigned_vehicle"], t["group_weight_kg"], t["load_factor"], tuple(x["shipment_id"] for x in t["items"]))
+        for t in r
+    )
+    together = run.trucks.collect()
+    for sc in sweep:
+        alone = run_plan(spark, df, (sc,))
+        assert told(t for t in together if t["scenario_id"] == sc.scenario_id) == told(alone.trucks.collect())
+        for name in ("unit_map", "groups", "units"):
+            key = "unit_id" if name != "groups" else "group_id"
+            ids = lambda f: sorted(r[0] for r in f.select(key).collect() if r[0].startswith(sc.scenario_id + "|"))
+            assert ids(getattr(run.grouping, name)) == ids(getattr(alone.grouping, name))
+    assert len({t["truck_id"] for t in together}) == len(together)
+
+
+def test_variants_cover_every_combination():
+    some = variants(PRESETS[2], route_detour=(1.1, 1.2), max_bearing_diff=(30.0, 45.0))
+    assert len({s.scenario_id for s in some}) == 4 and {(s.route_detour, s.max_bearing_diff) for s in some} == {(a, b) for a in (1.1, 1.2) for b in (30.0, 45.0)}
+
+
 def test_same_lane_disjoint_windows_keep_both(spark):
     rows = [
         (f"D{i}", "a", 19.30, 73.06, 18.52, 73.86, 900.0, 60, 50, 40, 30000 + i * 20000, 33000 + i * 20000, "other", None, None)
