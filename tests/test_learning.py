@@ -145,3 +145,24 @@ def test_missed_partners_equal_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in near.collect()} == {
         (a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and hav(*a[1:], *b[1:]) <= 150
     }
+
+
+@pytest.mark.parametrize("box_rows", [1, 3, 64])
+def test_missed_partners_of_crowded_cells(spark, monkeypatch, box_rows):
+    """Crowds a little under and over the limits away from lone shipments, in cells that are halved down to a few rows."""
+    monkeypatch.setattr(proximity, "BOX_ROWS", box_rows)
+    rng = random.Random(box_rows)
+    rows = []
+    for i in range(260):
+        crowd = i % 3
+        plat, dlat = 19.0 + crowd * 0.9, 13.0 + crowd * 0.3
+        rows.append((f"C{i:03d}", "k", plat + rng.uniform(0, 0.3), 73.0 + rng.uniform(0, 0.3), dlat + rng.uniform(0, 0.5), 80.0 + rng.uniform(0, 0.5)))
+    for i in range(60):
+        rows.append((f"L{i:03d}", "k", 19.0 + rng.uniform(-0.9, 3.0), 73.0 + rng.uniform(-0.9, 0.9), 13.0 + rng.uniform(-1.4, 2.0), 80.0 + rng.uniform(-1.4, 1.4)))
+    df = spark.createDataFrame(rows, "shipment_id string, k string, pickup_lat double, pickup_lng double, delivery_lat double, delivery_lng double")
+    near = lambda a, b: hav(a[2], a[3], b[2], b[3]) <= 60 and hav(a[4], a[5], b[4], b[5]) <= 100
+    want = {a[0] for a in rows if any(a is not b and near(a, b) for b in rows)}
+    flagged = proximity.missed_partners(df, ["k"])
+    got = {r["shipment_id"] for r in flagged.filter("missed").collect()}
+    assert got == want and flagged.count() == len(rows)
+    assert 0 < len([r for r in rows if r[0] not in want]) < 60
