@@ -277,6 +277,24 @@ def hub_fanout(shipments: DataFrame, pickup="pickup_hub", delivery="delivery_hub
     )
 
 
+def reach_sketches(shipments: DataFrame, keys: list[str], measures: dict[str, Column], lg_k: int = 14) -> DataFrame:
+    """Per key a mergeable sketch of each measure's distinct values, of at most 2**lg_k bytes.
+
+    Keep the rows of a period as a table: counts over any range of periods
+    follow from ``merge_reach`` without another look at its shipments. The sketch
+    is combined on the map side, so a hot key costs no more than another.
+    """
+    return shipments.groupBy(*keys).agg(*[F.hll_sketch_agg(c, lg_k).alias(name) for name, c in measures.items()])
+
+
+def merge_reach(sketches: DataFrame, keys: list[str], measures: list[str], lg_k: int = 14) -> DataFrame:
+    """Estimated distinct values per key over all rows of ``sketches``; keys may be fewer than those they were made by.
+
+    The standard error is 1.04 / sqrt(2**lg_k) of the count.
+    """
+    return sketches.groupBy(*keys).agg(*[F.hll_sketch_estimate(F.hll_union_agg(m, False)).alias(m) for m in measures])
+
+
 def top_lanes(counts: DataFrame, by: str, k: int = 10) -> DataFrame:
     """The k largest lanes; ties by name."""
     return counts.orderBy(F.desc(by), "lane").limit(k)

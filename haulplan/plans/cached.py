@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.places import address_name, assign_places, cache_key
+from ..session import Stages
 from ..sources import place_cache
+from ..sources.place_store import PlaceStore
 from ..sources.shipments import shipments_view
 from .oracles import SHIP, big, bucket, city
 
@@ -61,6 +63,27 @@ def place_cache_upsert(spark, sf):
     return merged.select(_thousandth("lat3"), _thousandth("lng3"), "zoom", address_name(F.col("addr")).alias("name"))
 
 
+def _store(spark, sf) -> PlaceStore:
+    """A store of two versions: the cache, then the fetched addresses."""
+    store = PlaceStore(spark, f"{Stages(spark).root}/places")
+    store.upsert(derived_cache(spark, sf))
+    store.upsert(derived_fetch(spark, sf))
+    return store
+
+
+def _entries(cache: DataFrame) -> DataFrame:
+    return cache.select(_thousandth("lat3"), _thousandth("lng3"), "zoom", address_name(F.col("addr")).alias("name"))
+
+
+def place_store_latest(spark, sf):
+    return _entries(_store(spark, sf).read())
+
+
+def place_store_snapshot(spark, sf):
+    """The first version, read after the second was written."""
+    return _entries(_store(spark, sf).read(1))
+
+
 def place_cache_warm_up(spark, sf):
     return place_cache.warm_up_counts(shipments_view(spark, sf), derived_cache(spark, sf))
 
@@ -75,6 +98,8 @@ QUERIES = {
     "place_cache_stats": place_cache_stats,
     "place_cache_eviction": place_cache_eviction,
     "place_cache_upsert": place_cache_upsert,
+    "place_store_latest": place_store_latest,
+    "place_store_snapshot": place_store_snapshot,
     "place_cache_warm_up": place_cache_warm_up,
     "cached_places": cached_places,
 }
@@ -97,6 +122,8 @@ ORACLES = {
     "place_cache_stats": f"""WITH {SHIP}, {_CACHE} SELECT count(*) AS total, count(name) AS populated, count(*) - count(name) AS empty, count(*) FILTER (zoom = 10) AS zoom_10, count(*) FILTER (zoom = 8) AS zoom_8 FROM cache""",
     "place_cache_eviction": f"WITH {SHIP}, {_CACHE} SELECT count(name) AS kept, count(*) - count(name) AS removed FROM cache",
     "place_cache_upsert": f"WITH {SHIP}, {_CACHE} SELECT lat_m, lng_m, zoom, CASE WHEN m % 8 = 0 THEN 'N' || CAST(m % 89 AS VARCHAR) ELSE name END AS name FROM cache",
+    "place_store_latest": f"WITH {SHIP}, {_CACHE} SELECT lat_m, lng_m, zoom, CASE WHEN m % 8 = 0 THEN 'N' || CAST(m % 89 AS VARCHAR) ELSE name END AS name FROM cache",
+    "place_store_snapshot": f"WITH {SHIP}, {_CACHE} SELECT lat_m, lng_m, zoom, name FROM cache",
     "place_cache_warm_up": f"""WITH {SHIP}, {_CACHE}, ends AS (SELECT pickup_lat AS lat, pickup_lng AS lng FROM ship UNION SELECT delivery_lat, delivery_lng FROM ship),
 hit AS (SELECT e.lat, EXISTS (SELECT 1 FROM cache c WHERE c.zoom = 10 AND c.lat_m = {_M('e.lat')} AND c.lng_m = {_M('e.lng')}) AS known FROM ends e)
 SELECT count(*) AS unique_points, count(*) FILTER (known) AS already_cached, count(*) FILTER (NOT known) AS to_fetch, CAST(0 AS BIGINT) AS skipped_invalid FROM hit""",

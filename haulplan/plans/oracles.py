@@ -372,6 +372,10 @@ SELECT bucket, count(shipment_id) AS trucks FROM b LEFT JOIN solo ON load_factor
     "consolidation_summary": f"""WITH {SHIP}, n AS (SELECT count(*) AS n FROM ship WHERE weight_kg <= 22000) SELECT n AS n_shipments, n AS n_trucks, n AS n_singletons, {big('0')} AS n_batched_groups,
  {big('0')} AS n_batched_shipments, {big('0')} AS exact_lane_groups, {big('0')} AS corridor_groups, 0e0 AS trip_reduction_pct, {big('0')} AS trips_saved FROM n""",
     "goods_summary": f"WITH {SHIP} SELECT goods_type, count(*) AS shipments, {rnd('sum(weight_kg)')} AS total_kg, {rnd('sum(weight_kg) / count(*)')} AS avg_kg FROM ship GROUP BY 1",
+    "reach_by_quarter": f"""WITH {SHIP}, q AS (SELECT *, CAST(year(ship_week) AS VARCHAR) || '-' || CAST(quarter(ship_week) AS VARCHAR) AS quarter,
+ {big('round(delivery_lat * 1000)')} AS y, {big('round(delivery_lng * 1000)')} AS x FROM ship)
+SELECT pickup_hub, quarter, count(DISTINCT delivery_hub) AS destinations, count(DISTINCT (y, x)) AS delivery_points, count(DISTINCT shipment_id) AS shipments,
+ true AS destinations_told, true AS delivery_points_told, true AS shipments_told FROM q GROUP BY pickup_hub, quarter""",
     "input_kpis": f"""WITH {SHIP} SELECT count(*) AS shipments, count(DISTINCT pickup_hub) AS origin_hubs, count(DISTINCT delivery_hub) AS destinations, {rnd('sum(weight_kg) / 1000e0', 1)} AS total_tonnes FROM ship""",
     "lane_distribution": f"""WITH {SHIP} SELECT pickup_hub || ' → ' || delivery_hub AS lane, count(*) AS shipments, count(*) FILTER (weight_kg < 8000) AS ltl,
  {rnd('CAST(count(*) FILTER (weight_kg < 8000) AS DOUBLE) / count(*) * 100e0', 1)} AS ltl_pct FROM ship GROUP BY 1""",

@@ -18,7 +18,7 @@ from ..sources.fleet import LARGEST, fleet_df
 from ..sources.shipments import planning_rows, shipments_view
 from .dispatch import Run, pack_routes, run_plan, truck_shipments
 from .grouping import ITEM_FIELDS
-from .params import BALANCED, PRESETS
+from .params import BALANCED, PRESETS, variants
 from .scenarios import compare, recommend
 
 PAIR_KEY = ["ship_week", "pickup_hub"]
@@ -635,6 +635,35 @@ def scenario_comparison(spark, sf):
     return recommend(compare(sweep_run(spark, sf)))
 
 
+#: A user's sweep of the route limits: one clustering, six splits into routes.
+ROUTE_LIMITS = variants(BALANCED, route_detour=(1.1, 1.25, 1.4), max_bearing_diff=(30.0, 45.0))
+
+
+def route_limit_sweep(spark, sf):
+    """The default scenario under several route limits; clusters, windows and groups are planned once for all."""
+    return recommend(compare(run_plan(spark, planning_rows(shipments_view(spark, sf)), ROUTE_LIMITS)))
+
+
+def reach_by_quarter(spark, sf):
+    """Destinations, delivery points and shipments a hub reaches in a quarter: exact, and from weekly sketches within four standard errors."""
+    lg_k = 14
+    quarter = F.concat_ws("-", F.year("ship_week"), F.quarter("ship_week"))
+    measures = {
+        "destinations": F.col("delivery_hub"),
+        "delivery_points": F.concat_ws(" ", *[F.round(F.col(c) * 1000).cast("long") for c in ("delivery_lat", "delivery_lng")]),
+        "shipments": F.col("shipment_id"),
+    }
+    rows = shipments_view(spark, sf).withColumns({"quarter": quarter, **{f"_{m}": c for m, c in measures.items()}})
+    keys = ["pickup_hub", "quarter"]
+    weekly = metrics.reach_sketches(rows, [*keys, "ship_week"], {m: F.col(f"_{m}") for m in measures}, lg_k)
+    told = metrics.merge_reach(weekly, keys, list(measures), lg_k).select(*keys, *[F.col(m).alias(f"told_{m}") for m in measures])
+    exact = rows.groupBy(*keys).agg(*[F.count_distinct(f"_{m}").alias(m) for m in measures])
+    bound = lambda m: F.greatest(F.lit(0.5), F.col(m) * (4 * 1.04 / 2 ** (lg_k / 2)))
+    return exact.join(told, keys).select(
+        *keys, *measures, *[(F.abs(F.col(f"told_{m}") - F.col(m)) <= bound(m)).alias(f"{m}_told") for m in measures]
+    )
+
+
 QUERIES = {
     "haversine": haversine,
     "bearing": bearing,
@@ -674,6 +703,7 @@ QUERIES = {
     "consolidation_summary": _solo_metric(metrics.consolidation_summary, "scenario_id"),
     "goods_summary": goods_summary,
     "input_kpis": input_kpis,
+    "reach_by_quarter": reach_by_quarter,
     "lane_distribution": lane_distribution,
     "top_lanes": top_lanes,
     "hub_fanout": hub_fanout,
@@ -717,4 +747,5 @@ QUERIES = {
     "gbt_scores": gbt_scores,
     "run_zone_state": run_zone_state,
     "scenario_comparison": scenario_comparison,
+    "route_limit_sweep": route_limit_sweep,
 }

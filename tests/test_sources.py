@@ -9,7 +9,9 @@ from haulplan.operators.validate import coord_error, csv_planning_rows, split_va
 from haulplan.plans.dispatch import run_plan, truck_shipments
 from haulplan.plans.params import custom_scenario, scenarios_df
 from haulplan.operators.vehicles import manifest, vehicle_numbers
+from haulplan.operators import metrics
 from haulplan.sources import fleet, generator, place_cache
+from haulplan.sources.place_store import PlaceStore
 from haulplan.sources.shipments import read_shipments_csv
 from haulplan.sources.sinks import write_report
 
@@ -111,3 +113,42 @@ def test_fleet_and_scenarios(spark):
     assert custom_scenario(max_detour_ratio=1.3).clustering_detour == 0.3
     assert custom_scenario(max_detour_ratio=1.0).clustering_detour == 0.01
     assert scenarios_df(spark).count() == 5
+
+
+def _addresses(spark, points, name, day):
+    rows = [(round(a, 3), round(b, 3), 10, {"city": name}, dt.datetime(2024, 1, day)) for a, b in points]
+    return spark.createDataFrame(rows, place_cache.SCHEMA)
+
+
+def test_place_store_rewrites_the_touched_buckets_and_keeps_snapshots(spark, tmp_path):
+    store = PlaceStore(spark, str(tmp_path / "places"), buckets=64)
+    assert store.versions() == [] and store.read().count() == 0
+    everywhere = [(10 + i * 0.25 + 0.01, 70 + j * 0.25 + 0.01) for i in range(40) for j in range(40)]
+    assert store.upsert(_addresses(spark, everywhere, "old", 2)) == 1
+    # one per cent of the keys, all of one region, and one older than the cache's own
+    region = [p for p in everywhere if p[0] < 11 and p[1] < 71]
+    assert store.upsert(_addresses(spark, region[1:], "new", 3).unionByName(_addresses(spark, region[:1], "late", 1))) == 2
+    name = lambda version: {(r["lat3"], r["lng3"]): r["addr"]["city"] for r in store.read(version).collect()}
+    key = lambda p: (round(p[0], 3), round(p[1], 3))
+    assert name(1) == {key(p): "old" for p in everywhere}
+    assert name(None) == {key(p): "new" if p in region[1:] else "old" for p in everywhere}
+    before, after = (dict(map(tuple, store.listed(v).collect())) for v in (1, 2))
+    rewritten = [b for b in after if after[b] != before.get(b)]
+    assert after.keys() == before.keys() and 0 < len(rewritten) <= len(region) < len(after)
+    # an upsert that never commits is not seen and does not stand in the way of the next
+    store.read().write.mode("overwrite").parquet(f"{store.path}/lists/version=3/_temporary/0")
+    assert store.versions() == [1, 2]
+    assert store.upsert(_addresses(spark, [], "none", 4)) == 3 and name(3) == name(2)
+
+
+def test_reach_of_any_range_of_periods_from_sketches(spark):
+    rows = spark.range(60_000).select(
+        (F.col("id") % 7).alias("period"), F.when(F.col("id") % 3 == 0, "hot").otherwise("other").alias("hub"), (F.col("id") * 7919 % 21_001).alias("place")
+    )
+    weekly = metrics.reach_sketches(rows, ["hub", "period"], {"places": F.col("place")}).cache()
+    for first, last in ((0, 6), (2, 3), (5, 5)):
+        span = F.col("period").between(first, last)
+        exact = {r[0]: r[1] for r in rows.filter(span).groupBy("hub").agg(F.count_distinct("place")).collect()}
+        told = {r[0]: r[1] for r in metrics.merge_reach(weekly.filter(span), ["hub"], ["places"]).collect()}
+        assert told.keys() == exact.keys() and all(abs(told[h] - exact[h]) <= 4 * 1.04 / 128 * exact[h] for h in exact)
+    assert metrics.merge_reach(weekly.filter("false"), ["hub"], ["places"]).count() == 0
