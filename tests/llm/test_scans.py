@@ -246,6 +246,46 @@ def test_toxicity_learns_pairs_and_keeps_the_fold_out(spark, make):
     assert again.filter("abs(score - other) > 1e-12").count() == 0
 
 
+def test_toxicity_learns_a_pair_whose_words_tell_nothing_alone(spark, make):
+    """Either word alone is toxic, both or none are not: no word differs between the classes, and 2,000 others stand around."""
+    rng, rows = np.random.default_rng(5), []
+    words = [f"w{i}" for i in range(2000)]
+    for i in range(3000):
+        text, insult, group = list(rng.choice(words, 25)), rng.random() < 0.5, rng.random() < 0.5
+        text += ["lazy"] * insult + ["hauliers"] * group
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(insult != group)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "shipment_id long, toxic int")
+    out = toxicity.score_toxicity(make([(i, t) for i, t, _ in rows]), labels).join(labels, "shipment_id").filter("held_out")
+    assert out.count() > 400 and out.filter("predicted = toxic").count() / out.count() > 0.9
+
+
+def test_joint_terms_equal_a_loop_over_pairs():
+    rng = np.random.default_rng(8)
+    x = (rng.random((900, 14)) < 0.4).astype(float)
+    y = ((x[:, 3] != x[:, 9]) | (x[:, 5] > 0) & (rng.random(900) < 0.2)).astype(float)
+    off, want = y - y.mean(), set()
+    for a in range(14):
+        for b in range(14):
+            ca, cb = x[:, a] - x[:, a].mean(), x[:, b] - x[:, b].mean()
+            error = np.sqrt(900 * (off**2).mean() * (ca**2).mean() * (cb**2).mean())
+            if a != b and abs((off * ca * cb).sum()) / error >= 10:
+                want.add(a)
+    got = toxicity.joint_terms([np.flatnonzero(r) for r in x], y, 14, 14)
+    assert set(got.tolist()) == want == {3, 9}
+    assert toxicity.joint_terms([], np.empty(0), 0, 5).size == 0
+
+
+def test_the_machine_scores_as_a_loop_over_pairs_does():
+    rng = np.random.default_rng(9)
+    machine = toxicity.Machine(np.arange(30), 0.3, rng.normal(0, 0.4, 30), rng.normal(0, 0.3, (30, 5)))
+    for _ in range(20):
+        present = np.flatnonzero(rng.random(30) < 0.4)
+        z = machine.bias + sum(machine.linear[i] for i in present)
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for i in present for j in present if i < j)
+        assert abs(machine.score(present) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_edges(spark, make, odd_rows):
     none = spark.createDataFrame([], "shipment_id long, toxic int")
     got = toxicity.score_toxicity(make(odd_rows), none).collect()
